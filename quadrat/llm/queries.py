@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrat.llm.leaks import leaked_items
 from quadrat.llm.overlap import cross_split_pairs, overlap_report
 from quadrat.llm.splits import assign_splits, grouped
 from quadrat.session import table
@@ -37,6 +38,18 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(cross_split_pairs(_listed(spark, sf_dir), table(spark, sf_dir, "selected_tiles")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items whose passage they give away."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_by_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaking documents and leaked items per source and suite."""
+    leaks = p8_found(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source").distinct(), "doc_id")
+    suites = table(spark, sf_dir, "eval_items").select("item_id", "suite").distinct()
+    return leaks.join(suites, "item_id").groupBy("source", "suite").agg(F.countDistinct("doc_id").alias("n_documents"), F.countDistinct("item_id").alias("n_items"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p8_found, p8_by_suite)}
 
 SQL: dict[str, str] = {}
