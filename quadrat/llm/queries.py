@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrat.llm.leaks import leaked_items
 from quadrat.llm.overlap import cross_split_pairs, overlap_report
 from quadrat.llm.splits import assign_splits, grouped
+from quadrat.llm.subjects import document_subjects
 from quadrat.session import table
 
 
@@ -50,6 +51,17 @@ def p8_by_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.join(suites, "item_id").groupBy("source", "suite").agg(F.countDistinct("doc_id").alias("n_documents"), F.countDistinct("item_id").alias("n_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p8_found, p8_by_suite)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subjects of each document."""
+    return document_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per subject and source."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return p9_found(spark, sf_dir).join(sources, "doc_id").groupBy("subject", "source").agg(F.countDistinct("doc_id").alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p8_found, p8_by_suite, p9_found, p9_composition)}
 
 SQL: dict[str, str] = {}

@@ -31,3 +31,21 @@ def fold(text: str) -> str:
 def words(text: str | None) -> list[str]:
     """The words of ``text`` in order; none for NULL and blank texts."""
     return _WORD.findall(fold(text)) if text else []
+
+
+_BLOCK_TAG = re.compile(r"</?(?:p|li|ul|ol|h[1-6]|div|br|tr|td|th|table|pre|blockquote|body|html|title)\b[^<>]{0,300}>", re.IGNORECASE)
+_END = re.compile(r"[.!?:]+(?=\s|$)|\n\s*\n|\n(?=\s*(?:[-*#|\[=]|\d+[.)]))")
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of each sentence of ``text``.
+
+    A sentence ends at ``.``, ``!``, ``?`` or ``:`` before a blank, at an empty line, at a block
+    tag, and before a list item or heading; fewer than three words are none.
+    """
+    if not text:
+        return []
+    if "<" in text:
+        text = _BLOCK_TAG.sub("\n\n", text)
+    found = (_WORD.findall(part) for part in _END.split(fold(text)))
+    return [s for s in found if len(s) >= 3]
