@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrat.llm.leaks import leaked_items
 from quadrat.llm.overlap import cross_split_pairs, overlap_report
+from quadrat.llm.packing import fill_report, pack_documents
 from quadrat.llm.splits import assign_splits, grouped
 from quadrat.llm.subjects import document_subjects
 from quadrat.session import table
@@ -39,6 +40,16 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(cross_split_pairs(_listed(spark, sf_dir), table(spark, sf_dir, "selected_tiles")))
 
 
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers of every capacity."""
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return fill_report(p7_pack(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items whose passage they give away."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -62,6 +73,6 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).join(sources, "doc_id").groupBy("subject", "source").agg(F.countDistinct("doc_id").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p8_found, p8_by_suite, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p3_found, p3_report, p7_pack, p7_fill, p8_found, p8_by_suite, p9_found, p9_composition)}
 
 SQL: dict[str, str] = {}

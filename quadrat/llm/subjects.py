@@ -230,10 +230,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     model = fit_subjects(documents, labels, subjects)
     if model is None:
         return documents.sparkSession.createDataFrame([], schema)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+    def run(batches: Iterator[pd.DataFrame], model: SubjectModel = model) -> Iterator[pd.DataFrame]:
         names = np.array(model.subjects, object)
         for batch in batches:
             for begin in range(0, len(batch), 512):
