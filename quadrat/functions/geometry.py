@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RING = "array<struct<x:double,y:double>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     """A vertex."""
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -25,19 +32,22 @@ def from_flat(values: Column) -> Column:
 
 def opened(r: Column) -> Column:
     """A ring without a repeated closing vertex."""
-    last = F.element_at(r, -1)
-    return F.when((F.size(r) > 1) & (F.get(r, F.lit(0)) == last), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+    return let(r, lambda r: F.when((F.size(r) > 1) & (F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
 
 
 def closed(r: Column) -> Column:
     """A ring with its first vertex repeated at the end."""
-    return F.concat(r, F.slice(r, 1, 1))
+    return let(r, lambda r: F.concat(r, F.slice(r, 1, 1)))
 
 
 def edges(r: Column) -> Column:
     """The edges ``struct<a, b>`` of a ring."""
-    after = F.concat(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), F.slice(r, 1, 1))
-    return F.zip_with(r, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def paired(r: Column) -> Column:
+        after = F.concat(F.slice(r, F.lit(2), F.greatest(F.size(r), F.lit(1))), F.slice(r, 1, 1))
+        return F.zip_with(r, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    return let(r, paired)
 
 
 def _sum(items: Column) -> Column:
@@ -61,7 +71,8 @@ def length(r: Column) -> Column:
 
 def bounds(r: Column) -> Column:
     """The box around a ring."""
-    return F.struct(F.array_min(r["x"]).alias("x1"), F.array_min(r["y"]).alias("y1"), F.array_max(r["x"]).alias("x2"), F.array_max(r["y"]).alias("y2"))
+    box = lambda r: F.struct(F.array_min(r["x"]).alias("x1"), F.array_min(r["y"]).alias("y1"), F.array_max(r["x"]).alias("x2"), F.array_max(r["y"]).alias("y2"))
+    return let(r, box)
 
 
 def vertices(r: Column) -> Column:
@@ -132,8 +143,12 @@ def nearest_point(p: Column, r: Column) -> Column:
         return F.struct(F.hypot(p["x"] - x, p["y"] - y).alias("d"), x.alias("x"), y.alias("y"))
 
     feet = F.transform(edges(r), foot)
-    least = F.array_min(feet["d"])
-    return F.get(F.filter(feet, lambda f: f["d"] == least), F.lit(0))
+
+    def first_least(feet: Column) -> Column:
+        least = F.array_min(feet["d"])
+        return F.get(F.filter(feet, lambda f: f["d"] == least), F.lit(0))
+
+    return let(feet, first_least)
 
 
 def _to_line(points: Column, r: Column) -> Column:
@@ -162,8 +177,10 @@ def hausdorff(a: Column, b: Column) -> Column:
 
 def frechet(a: Column, b: Column) -> Column:
     """Discrete Fréchet distance of two rings, closing vertices included."""
-    p, q = closed(a), closed(b)
+    return let(F.struct(closed(a).alias("p"), closed(b).alias("q")), lambda both: _coupled(both["p"], both["q"]))
+
 
+def _coupled(p: Column, q: Column) -> Column:
     def row(before: Column, u: Column) -> Column:
         def cell(done: Column, j: Column) -> Column:
             v = q[j]
@@ -214,9 +231,12 @@ def clip(r: Column, x1: float | Column, y1: float | Column, x2: float | Column,
 
 def canonical(r: Column) -> Column:
     """The same ring, however it starts and turns: counter-clockwise from its smallest vertex."""
-    turned = F.when(signed_area(r) < 0, F.reverse(r)).otherwise(r)
-    at = F.array_position(turned, F.array_min(turned)).cast("int")
-    return F.concat(F.slice(turned, at, F.size(turned)), F.slice(turned, 1, at - 1))
+
+    def from_least(r: Column) -> Column:
+        at = F.array_position(r, F.array_min(r)).cast("int")
+        return F.concat(F.slice(r, at, F.size(r)), F.slice(r, F.lit(1), at - 1))
+
+    return let(let(r, lambda r: F.when(signed_area(r) < 0, F.reverse(r)).otherwise(r)), from_least)
 
 
 def coerce_vertices(flat: Column) -> Column:

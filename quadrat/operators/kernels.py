@@ -253,7 +253,7 @@ def simplify(tolerance: float):
             out.append([{"x": float(x), "y": float(y)} for x, y in (s if len(s) > 2 or len(r) <= 2 else r)])
         return pd.Series(out)
 
-    return run
+    return run.asNondeterministic()  # so that the planner neither repeats nor inlines the call
 
 
 # Rasterising.  A pixel belongs to a polygon if its centre does (even-odd rule).
