@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quadrat.functions.geometry import let
+
 
 def _sum(items: Column) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda s, v: s + v)
@@ -148,17 +150,22 @@ def cx(re: Column, im: Column) -> Column:
 
 def cx_mul(a: Column, b: Column) -> Column:
     """Product."""
-    return cx(a["re"] * b["re"] - a["im"] * b["im"], a["re"] * b["im"] + a["im"] * b["re"])
+
+    def product(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        return cx(a["re"] * b["re"] - a["im"] * b["im"], a["re"] * b["im"] + a["im"] * b["re"])
+
+    return let(F.struct(a.alias("a"), b.alias("b")), product)
 
 
 def cx_add(a: Column, b: Column) -> Column:
     """Sum."""
-    return cx(a["re"] + b["re"], a["im"] + b["im"])
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: cx(p["a"]["re"] + p["b"]["re"], p["a"]["im"] + p["b"]["im"]))
 
 
 def cx_scale(a: Column, k: float | Column) -> Column:
     """Multiple."""
-    return cx(a["re"] * k, a["im"] * k)
+    return let(a, lambda a: cx(a["re"] * k, a["im"] * k))
 
 
 def cx_abs(a: Column) -> Column:
@@ -168,7 +175,7 @@ def cx_abs(a: Column) -> Column:
 
 def cx_abs2(a: Column) -> Column:
     """Squared magnitude."""
-    return a["re"] * a["re"] + a["im"] * a["im"]
+    return let(a, lambda a: a["re"] * a["re"] + a["im"] * a["im"])
 
 
 def cx_arg(a: Column) -> Column:
@@ -178,28 +185,35 @@ def cx_arg(a: Column) -> Column:
 
 def cx_sqrt(a: Column) -> Column:
     """Principal root, by magnitude and angle."""
-    size, angle = F.sqrt(cx_abs(a)), cx_arg(a) / 2
-    return cx(size * F.cos(angle), size * F.sin(angle))
+
+    def root(a: Column) -> Column:
+        size, angle = F.sqrt(cx_abs(a)), cx_arg(a) / 2
+        return cx(size * F.cos(angle), size * F.sin(angle))
+
+    return let(a, root)
 
 
 def crossfield_coefficients(u: Column, v: Column) -> Column:
     """``c0 = u^2 v^2`` and ``c2 = -(u^2 + v^2)`` of the frame field's directions."""
-    uu, vv = cx_mul(u, u), cx_mul(v, v)
-    return F.struct(cx_mul(uu, vv).alias("c0"), cx_scale(cx_add(uu, vv), -1.0).alias("c2"))
+    squares = F.struct(cx_mul(u, u).alias("uu"), cx_mul(v, v).alias("vv"))
+    return let(squares, lambda s: F.struct(cx_mul(s["uu"], s["vv"]).alias("c0"), cx_scale(cx_add(s["uu"], s["vv"]), -1.0).alias("c2")))
 
 
 def crossfield_directions(c0: Column, c2: Column) -> Column:
     """Directions ``u`` and ``v`` from the coefficients, by the quadratic in ``z^2``."""
+
+    def solved(p: Column) -> Column:
+        uu = cx_scale(cx_add(p["c2"], p["root"]), -0.5)
+        vv = cx_scale(cx_add(p["c2"], cx_scale(p["root"], -1.0)), -0.5)
+        return F.struct(cx_sqrt(uu).alias("u"), cx_sqrt(vv).alias("v"))
+
     root = cx_sqrt(cx_add(cx_mul(c2, c2), cx_scale(c0, -4.0)))
-    uu = cx_scale(cx_add(c2, root), -0.5)
-    vv = cx_scale(cx_add(c2, cx_scale(root, -1.0)), -0.5)
-    return F.struct(cx_sqrt(uu).alias("u"), cx_sqrt(vv).alias("v"))
+    return let(F.struct(c2.alias("c2"), root.alias("root")), solved)
 
 
 def align_error(c0: Column, c2: Column, z: Column) -> Column:
     """``|z^4 + c2 z^2 + c0|^2``: 0 where ``z`` follows the frame field."""
-    zz = cx_mul(z, z)
-    return cx_abs2(cx_add(cx_add(cx_mul(zz, zz), cx_mul(c2, zz)), c0))
+    return let(cx_mul(z, z), lambda zz: cx_abs2(cx_add(cx_add(cx_mul(zz, zz), cx_mul(c2, zz)), c0)))
 
 
 def crossfield_from_angle(angle: Column) -> Column:

@@ -213,10 +213,21 @@ def _xy(ring) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) if ring is not None else np.zeros((0, 2))
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("iou", "inter", "uni")]))
-def polygon_iou(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Struct of IoU, intersection and union of two rings; NULL rings are empty."""
-    return pd.DataFrame([ring_overlap(_xy(x), _xy(y)) for x, y in zip(a, b)], columns=["iou", "inter", "uni"])
+_RING_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y")]))
+
+
+def with_polygon_iou(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` plus ``iou, inter, uni`` of two ring columns; NULL rings are empty.
+
+    A map over Arrow batches: a user-defined function can't take the result of a lambda.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = np.array([ring_overlap(_xy(x), _xy(y)) for x, y in zip(batch[a], batch[b])]).reshape(-1, 3)
+            yield batch.assign(iou=found[:, 0], inter=found[:, 1], uni=found[:, 2])
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("iou", "inter", "uni")]]))
 
 
 def simplify_line(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -241,19 +252,22 @@ def simplify_line(points: np.ndarray, tolerance: float) -> np.ndarray:
     return points[keep]
 
 
-def simplify(tolerance: float):
-    """A column function that simplifies rings; one that would collapse stays as it is."""
+def simplify(df: DataFrame, ring: str, tolerance: float) -> DataFrame:
+    """``df`` with simplified rings; one that would collapse stays as it is, NULL stays NULL."""
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y")])))
-    def run(rings: pd.Series) -> pd.Series:
-        out = []
-        for ring in rings:
-            r = _xy(ring)
-            s = simplify_line(np.vstack([r, r[:1]]), tolerance)[:-1] if len(r) > 2 else r
-            out.append([{"x": float(x), "y": float(y)} for x, y in (s if len(s) > 2 or len(r) <= 2 else r)])
-        return pd.Series(out)
+    def one(points) -> list | None:
+        if points is None:
+            return None
+        r = _xy(points)
+        s = simplify_line(np.vstack([r, r[:1]]), tolerance)[:-1] if len(r) > 2 else r
+        return [{"x": float(x), "y": float(y)} for x, y in (s if len(s) > 2 else r)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch[ring] = pd.Series([one(r) for r in batch[ring]], index=batch.index, dtype=object)
+            yield batch
 
-    return run.asNondeterministic()  # so that the planner neither repeats nor inlines the call
+    return df.mapInPandas(run, T.StructType([T.StructField(f.name, _RING_TYPE) if f.name == ring else f for f in df.schema.fields]))
 
 
 # Rasterising.  A pixel belongs to a polygon if its centre does (even-odd rule).

@@ -96,7 +96,7 @@ PIXELS_SQL = "WITH px AS (SELECT vec_id AS image, label, i, i // 8 AS r, i % 8 A
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``split, epoch, step, value``: a training log."""
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("split"), F.to_date("ts").alias("epoch"), F.col("event_id").alias("step"), "value")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("split"), F.date_format("ts", "yyyy-MM-dd").alias("epoch"), F.col("event_id").alias("step"), "value")
 
 
-STEPS_SQL = "WITH steps AS (SELECT event_type AS split, ts::DATE AS epoch, event_id AS step, value FROM events) "
+STEPS_SQL = "WITH steps AS (SELECT event_type AS split, strftime(ts, '%Y-%m-%d') AS epoch, event_id AS step, value FROM events) "

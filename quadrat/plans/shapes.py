@@ -60,8 +60,8 @@ def frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polygon_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IoU of ring a's box and that box moved by (2, 1), both taken as polygons."""
     box = lambda dx, dy: g.ring(*[(x + dx, y + dy) for x, y in ((F.col("x0"), F.col("y0")), (F.col("x0") + F.col("w"), F.col("y0")), (F.col("x0") + F.col("w"), F.col("y0") + F.col("h")), (F.col("x0"), F.col("y0") + F.col("h")))])
-    o = rings(spark, sf_dir).select("id", kernels.polygon_iou(box(0, 0), box(2, 1)).alias("o"))
-    return o.select("id", F.round("o.iou", 6).alias("iou"), F.round("o.inter", 6).alias("inter"), F.round("o.uni", 6).alias("uni"))
+    o = kernels.with_polygon_iou(rings(spark, sf_dir).select("id", box(0, 0).alias("p"), box(2, 1).alias("q")), "p", "q")
+    return o.select("id", *[F.round(c, 6).alias(c) for c in ("iou", "inter", "uni")])
 
 
 def nearest_vertex_point(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def equal_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings after simplification: the points added along their edges go again."""
     dense = rings(spark, sf_dir).select("id", g.opened(g.densify(F.col("a"), 2.0)).alias("r"))
-    return dense.select("id", kernels.simplify(0.01)(F.col("r")).alias("s")).select("id", F.size("s").cast("bigint").alias("n_vertices"), F.round(g.area(F.col("s")), 6).alias("area"))
+    return kernels.simplify(dense, "r", 0.01).select("id", F.size("r").cast("bigint").alias("n_vertices"), F.round(g.area(F.col("r")), 6).alias("area"))
 
 
 def turning_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
