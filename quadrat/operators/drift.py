@@ -52,7 +52,7 @@ def _cells(lines: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("value").isNull() | (raw == "VOID"), F.lit(None))
         .when(raw == "BIGINT", "integer")
-        .when(raw.rlike(r"^DECIMAL\(\d+,0\)$"), F.when(F.to_json("value").contains("."), "decimal").otherwise("integer"))
+        .when(raw.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer")  # too long for BIGINT; a shorter one was written like 1.0
         .when(raw.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "decimal")
         .when(raw == "STRING", "string")
         .when(raw == "BOOLEAN", "boolean")
