@@ -126,7 +126,6 @@ def test_masks():
 
 def test_greedy_boxes(spark):
     b = [(1, k, *box, sc, 1) for k, (box, sc) in enumerate([((0, 0, 10, 10), 0.9), ((1, 1, 5, 5), 0.5), ((5, 5, 12, 12), 0.5)])]
-    df = spark.createDataFrame(b, kernels.DETECTION.replace("double", "double"))
     df = spark.createDataFrame([(i, k, *map(float, x), sc, lab) for i, k, *x, sc, lab in b], kernels.DETECTION)
     assert kernels.nms(df, 0.5, "IOU").count() == 3
     assert kernels.nms(df, 0.5, "IOS").count() == 1
