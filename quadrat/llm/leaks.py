@@ -1,7 +1,7 @@
 """Evaluation passages that leaked into a corpus: a prefix-filtered set join on word shingles.
 
 A document leaks an item if it holds a stretch of at least ``STRETCH`` running words of the
-item's passage with at most one edited word in ten.  Such a stretch keeps at least ``KEPT`` of
+item's passage with at most one edited word in ten, the first and the last word being there.  Such a stretch keeps at least ``KEPT`` of
 its five-word shingles (each edit breaks at most five), so of the shingles of any window of 20
 words, ordered by rarity in the corpus, one of the rarest ``16 - KEPT + 1`` must be in the
 document: the prefix.
@@ -89,22 +89,28 @@ class Passages:
 def holds(passage: np.ndarray, region: np.ndarray) -> bool:
     """Whether ``region`` holds a stretch of ``passage`` with at most one edited word in ten.
 
-    ``near[s, d]`` is the least number of edits between the passage from s on and some run of
-    the region that ends before d; one row of letters is added per step, for all s at once.
+    A stretch begins and ends with words that are there.  ``near[s, d]`` is the least number of
+    edits between the passage from s on and some run of the region that ends before d; one row of
+    words is added per step, for all s at once.
     """
-    starts, width = len(passage) - STRETCH + 1, len(region) + 1
-    near = np.zeros((starts, width), np.int16)
-    ramp = np.arange(width, dtype=np.int16)
+    starts = len(passage) - STRETCH + 1
+    if starts <= 0:
+        return False
+    ramp = np.arange(len(region) + 1, dtype=np.int16)
+    near = np.zeros((starts, len(region) + 1), np.int16)
     for k in range(len(passage)):
         alive = min(starts, len(passage) - k)
-        if alive <= 0:
-            return False
         same = passage[k : k + alive, None] == region[None, :]
-        moved = near[:alive] + 1
-        moved[:, 1:] = np.minimum(moved[:, 1:], near[:alive, :-1] + ~same)
-        near = np.minimum.accumulate(moved - ramp, axis=1) + ramp
-        if k + 1 >= STRETCH and near.min() <= (k + 1) // EDITED:
+        along = near[:alive, :-1] + ~same
+        if k == 0:
+            moved = np.full(near.shape, len(passage), np.int16)
+            moved[:, 1:][same] = 0
+        else:
+            moved = near[:alive] + 1
+            moved[:, 1:] = np.minimum(moved[:, 1:], along)
+        if k + 1 >= STRETCH and (along[same] <= (k + 1) // EDITED).any():
             return True
+        near = np.minimum.accumulate(moved - ramp, axis=1) + ramp
     return False
 
 
