@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 
+from quadrat.session import spread
+
 Arrays = dict[str, np.ndarray]
 
 
@@ -49,4 +51,4 @@ def map_groups(df: DataFrame, key: str, order: list[str | Column], kernel: Calla
         if held is not None:
             yield results(held, np.array([0, len(held)]))
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return spread(df, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)

@@ -289,29 +289,14 @@ def fill(rings: list[np.ndarray], height: int, width: int) -> np.ndarray:
     return mask
 
 
-def near_lines(ring: np.ndarray, height: int, width: int, reach: float) -> np.ndarray:
-    """Mask of the pixels whose centre is within ``reach`` of a ring's line."""
-    ys, xs = np.mgrid[0:height, 0:width] + 0.5
-    mask = np.zeros((height, width), bool)
-    for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0)):
-        dx, dy = x2 - x1, y2 - y1
-        size = dx * dx + dy * dy
-        t = np.clip(((xs - x1) * dx + (ys - y1) * dy) / size, 0, 1) if size > 0 else 0.0
-        mask |= (xs - x1 - t * dx) ** 2 + (ys - y1 - t * dy) ** 2 <= reach * reach
-    return mask
-
-
-def line_distance(ring: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Exact distance of each pixel centre outside a ring to its line; 0 inside."""
-    ys, xs = np.mgrid[0:height, 0:width] + 0.5
-    best = np.full((height, width), np.inf)
-    for (x1, y1), (x2, y2) in zip(ring, np.roll(ring, -1, axis=0)):
-        dx, dy = x2 - x1, y2 - y1
-        size = dx * dx + dy * dy
-        t = np.clip(((xs - x1) * dx + (ys - y1) * dy) / size, 0, 1) if size > 0 else 0.0
-        best = np.minimum(best, np.hypot(xs - x1 - t * dx, ys - y1 - t * dy))
-    best[fill([ring], height, width)] = 0
-    return best
+def edge_distances(ring: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Squared distance of each pixel centre to each edge of a ring: edges x height x width."""
+    ys, xs = np.arange(height)[None, :, None] + 0.5, np.arange(width)[None, None, :] + 0.5
+    a, d = ring[:, :, None, None], (np.roll(ring, -1, axis=0) - ring)[:, :, None, None]
+    size = d[:, 0] ** 2 + d[:, 1] ** 2
+    along = (xs - a[:, 0]) * d[:, 0] + (ys - a[:, 1]) * d[:, 1]
+    t = np.clip(np.divide(along, size, out=np.zeros_like(along), where=size > 0), 0, 1)
+    return (xs - a[:, 0] - t * d[:, 0]) ** 2 + (ys - a[:, 1] - t * d[:, 1]) ** 2
 
 
 def masks_of(rings: list[np.ndarray], height: int, width: int, line: float = 3.0) -> dict[str, np.ndarray]:
@@ -319,21 +304,23 @@ def masks_of(rings: list[np.ndarray], height: int, width: int, line: float = 3.0
     out = {k: np.zeros((height, width), np.uint8) for k in ("polygon", "boundary", "vertex", "crossfield")}
     first, second = np.full((height, width), np.inf), np.full((height, width), np.inf)
     size = np.ones((height, width))
+    ys, xs = np.mgrid[0:height, 0:width] + 0.5
     for ring in rings:
         if ring_area(ring) <= 0:
             continue
-        inside, edge = fill([ring], height, width), near_lines(ring, height, width, line / 2)
+        inside, near = fill([ring], height, width), edge_distances(ring, height, width)
+        edge = near.min(0) <= line * line / 4
         out["polygon"][inside] = 255
         out["boundary"][edge] = 255
-        ys, xs = np.mgrid[0:height, 0:width] + 0.5
         for x, y in ring:
             out["vertex"][(xs - x) ** 2 + (ys - y) ** 2 <= line * line] = 255
-        for p, q in zip(ring, np.roll(ring, -1, axis=0)):
-            angle = np.mod(np.arctan2(q[1] - p[1], q[0] - p[0]), np.pi)
-            out["crossfield"][near_lines(np.array([p, q]), height, width, line / 2)] = np.uint8(np.rint(angle * 255 / np.pi))
-        d = line_distance(ring, height, width)
-        second = np.minimum(second, np.maximum(first, d))
-        first = np.minimum(first, d)
+        d = np.roll(ring, -1, axis=0) - ring
+        angles = np.rint(np.mod(np.arctan2(d[:, 1], d[:, 0]), np.pi) * 255 / np.pi).astype(np.uint8)
+        for k, angle in enumerate(angles):
+            out["crossfield"][near[k] <= line * line / 4] = angle
+        gap = np.where(inside, 0, np.sqrt(near.min(0)))
+        second = np.minimum(second, np.maximum(first, gap))
+        first = np.minimum(first, gap)
         size[inside | edge] = ring_area(ring) / (height * width)
     frame = np.ones((height, width), bool)
     frame[3:-3, 3:-3] = False
@@ -345,12 +332,14 @@ def masks_of(rings: list[np.ndarray], height: int, width: int, line: float = 3.0
 def rasterize(polygons: DataFrame, height: int, width: int) -> DataFrame:
     """``image, mask, pixels`` from ``image, pos, ring``: one row per image and kind of mask."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        rings = [_xy(r) for r in part.sort_values("pos")["ring"]]
+    def run(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        rings = [_xy(r) for r in part["ring"]]
         found = masks_of([r for r in rings if len(r) > 2], height, width)
-        return pd.DataFrame([(part["image"].iat[0], kind, m.astype(float).ravel().tolist()) for kind, m in found.items()], columns=["image", "mask", "pixels"])
+        pixels = np.empty(len(found), object)
+        pixels[:] = [m.astype(float).ravel() for m in found.values()]
+        return {"image": np.repeat(part["image"][:1], len(found)), "mask": np.array(list(found), object), "pixels": pixels}
 
-    return polygons.groupBy("image").applyInPandas(run, "image bigint, mask string, pixels array<double>")
+    return map_groups(polygons.select("image", "pos", "ring"), "image", ["pos"], run, "image bigint, mask string, pixels array<double>")
 
 
 # Contours.

@@ -41,7 +41,7 @@ def running_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decaying_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponentially decaying mean of each split and epoch after its last step."""
-    return logs.decaying_average(steps(spark, sf_dir), ["split", "epoch"], "step", "value", 0.9).select("split", "epoch", F.round("decaying", 6).alias("decaying"))
+    return logs.decaying_average(steps(spark, sf_dir), ["split", "epoch"], "step", "value", 0.9).select("split", "epoch", F.round(F.col("decaying") + 1e-9, 6).alias("decaying"))
 
 
 def interp_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ SQL = {
     "loss_norm": STEPS_SQL + "SELECT split, arg_max(value, step) AS norm FROM steps GROUP BY split",
     "running_average": STEPS_SQL + "SELECT split, step, round(sum(value * (step % 4 + 1)) OVER w / sum(step % 4 + 1) OVER w + 1e-9, 6) AS running FROM steps WINDOW w AS (PARTITION BY split, epoch ORDER BY step ROWS UNBOUNDED PRECEDING)",
     "decaying_average": STEPS_SQL
-    + ", k AS (SELECT *, row_number() OVER (PARTITION BY split, epoch ORDER BY step) AS k, count(*) OVER (PARTITION BY split, epoch) AS n FROM steps) SELECT split, epoch, round(sum(value * 0.1::DOUBLE * pow(0.9::DOUBLE, n - k)), 6) AS decaying FROM k GROUP BY ALL",
+    + ", k AS (SELECT *, row_number() OVER (PARTITION BY split, epoch ORDER BY step) AS k, count(*) OVER (PARTITION BY split, epoch) AS n FROM steps) SELECT split, epoch, round(sum(value * 0.1::DOUBLE * pow(0.9::DOUBLE, n - k)) + 1e-9, 6) AS decaying FROM k GROUP BY ALL",
     "interp_weights": STEPS_SQL
     + ", d AS (SELECT DISTINCT epoch, date_diff('day', DATE '2024-01-01', epoch::DATE) AS k FROM steps) SELECT epoch, round(CASE WHEN k <= 5 THEN 0 WHEN k < 10 THEN (k - 5) / 5.0::DOUBLE WHEN k < 20 THEN 1 - 0.75::DOUBLE * (k - 10) / 10.0::DOUBLE ELSE 0.25::DOUBLE END, 6) AS weight FROM d",
     "weighted_loss": STEPS_SQL

@@ -49,7 +49,7 @@ def cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def band_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, population deviation and class frequency per label and row of the rasters."""
     p = rasters(spark, sf_dir).select("label", F.posexplode("pixels").alias("i", "v")).withColumn("band", F.floor(F.col("i") / 8).cast("bigint"))
-    return logs.weight_histogram(p, ["label", "band"], "v").select("label", "band", *[F.round(c, 6).alias(c) for c in ("mean", "std", "class_freq")])
+    return logs.weight_histogram(p, ["label", "band"], "v").select("label", "band", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean", "std", "class_freq")])
 
 
 def tile_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ SQL = {
     + f", s AS (SELECT image, {_SUMS} FROM pt GROUP BY image), t AS (SELECT image, (tp + 1e-6) / (tp + 0.01::DOUBLE * fp + 0.99::DOUBLE * fn + 1e-6) AS t FROM s) SELECT image, round(t, 6) AS tversky, round(pow(greatest(1 - t, 0), 0.25::DOUBLE), 6) AS focal FROM t",
     "cross_entropy": "WITH l AS (SELECT vec_id AS image, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS z FROM embeddings), n AS (SELECT *, ln(list_sum(list_transform(z, lambda x: exp(x)))) AS lse FROM l) "
     "SELECT image, round(lse - z[label + 1], 6) AS ce, round(0.9::DOUBLE * (lse - z[label + 1]) + 0.1::DOUBLE * (lse - list_sum(z) / 10), 6) AS smooth_ce FROM n",
-    "band_stats": PIXELS_SQL + "SELECT label, r::BIGINT AS band, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(avg(v) / 255, 6) AS class_freq FROM px GROUP BY label, r",
+    "band_stats": PIXELS_SQL + "SELECT label, r::BIGINT AS band, round(avg(v), 6) + 0.0::DOUBLE AS mean, round(stddev_pop(v), 6) + 0.0::DOUBLE AS std, round(avg(v) / 255, 6) + 0.0::DOUBLE AS class_freq FROM px GROUP BY label, r",
     "tile_explode": "WITH d AS (SELECT row_id, greatest(1, ceil((width - 448) / 224.0::DOUBLE) + 1)::BIGINT AS nc, greatest(1, ceil((height - 448) / 224.0::DOUBLE) + 1)::BIGINT AS nr FROM dsg_dataset WHERE width IS NOT NULL AND height IS NOT NULL) SELECT row_id, r * nc + c AS tile_no, r * 224 AS row0, c * 224 AS col0 FROM d, LATERAL (SELECT unnest(range(nr)) AS r), LATERAL (SELECT unnest(range(nc)) AS c)",
     "tile_merge": PIXELS_SQL + "SELECT (image // 3)::BIGINT AS scene, (r + image % 3 * 2)::BIGINT AS row, c::BIGINT AS col, round(sum(v * (1 + image % 3)) / sum(1 + image % 3), 6) AS v FROM px GROUP BY 1, 2, 3",
     "laplacian": _stencil_sql(r.LAPLACIAN, False, "abs({})"),

@@ -34,6 +34,17 @@ def small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys`` over at least all cores.
+
+    The number is given, as adaptive execution would put a small input of a costly kernel into
+    one task.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], per_slice: int = 20_000) -> DataFrame:
     """Inner join in which a hot key of ``left`` is spread over several tasks.
 
