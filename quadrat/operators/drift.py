@@ -36,7 +36,7 @@ from quadrat.session import cut
 
 CHANGE_SCHEMA = "series string, file_seq int, change_kind string, old_field string, new_field string"
 #: Share of common images whose value must agree for a rename.
-AGREE = 0.8
+AGREE = 0.7
 
 
 def _lines(df: DataFrame) -> DataFrame:

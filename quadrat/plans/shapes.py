@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as g
 from quadrat.functions import sequences as s
-from quadrat.operators import kernels, lines, tiles
+from quadrat.operators import contour_metrics, kernels, lines, tiles
 from quadrat.plans.derived import rings, rings_sql
 
 
@@ -130,6 +130,12 @@ def teacher_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("id", F.col("v.first").cast("bigint").alias("first"), text("inputs").alias("inputs"), text("shifted").alias("shifted"), text("targets").alias("targets"))
 
 
+def tangent_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest angle between the outline of b and that of a."""
+    e = contour_metrics.with_tangent_angle_error(rings(spark, sf_dir).select("id", "a", "b"), "a", "b")
+    return e.select("id", F.round("angle_error", 6).alias("angle_error"))
+
+
 def convert_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per object: its crop with a margin and scale."""
     o = rings(spark, sf_dir, 3.0).select(F.col("id").alias("image"), F.lit(0).alias("pos"), F.col("b").alias("ring"), F.lit(180).alias("width"), F.lit(90).alias("height"))
@@ -140,7 +146,7 @@ def convert_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (poly_area, poly_bounds, boundary_vertices, affine_roundtrip, densify, polis, hausdorff, frechet, polygon_iou, nearest_vertex_point, equal_rings, simplify)
-} | {f.__name__: f for f in (turning_angles, corner_split, junction_order, encode_tokens, decode_tokens, polygon_accuracy, teacher_views, convert_objects)}
+} | {f.__name__: f for f in (turning_angles, corner_split, junction_order, encode_tokens, decode_tokens, polygon_accuracy, teacher_views, tangent_angles, convert_objects)}
 
 _BASE = rings_sql()
 _SEG_T = "greatest(0, least(1, coalesce(((p.x - e.x) * (e.nx - e.x) + (p.y - e.y) * (e.ny - e.y)) / nullif((e.nx - e.x) * (e.nx - e.x) + (e.ny - e.y) * (e.ny - e.y), 0), 0)))"

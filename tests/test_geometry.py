@@ -171,3 +171,20 @@ def test_matching_goldens(spark):
     assert e["unmatched_targets"].count() == 0
     accuracy = [x["a"] for x in e["matches"].orderBy(F.desc("iou")).select(s.ring_accuracy(F.col("ref_ring"), F.col("target_ring"), 10000, 300).alias("a")).collect()]
     assert accuracy == pytest.approx([0.4283856771, 0.0135027005], abs=1e-9)
+
+
+def test_tangent_angles(spark):
+    from quadrat.operators.contour_metrics import tangent_angle_error, with_tangent_angle_error
+
+    square = np.array(SQUARE, float) * 10
+    assert tangent_angle_error([square], [square]) == pytest.approx(0, abs=1e-7)
+    assert tangent_angle_error([square], []) is None
+    if DATA.exists():
+        shapes = {n: [np.array(f["geometry"]["coordinates"][0])[:-1] for f in json.loads((DATA / n).read_text())["features"]] for n in ("reference_polygons.geojson", "candidate_polygons.geojson")}
+        refs, targets = shapes.values()
+        best = [max(refs, key=lambda r: kernels.ring_overlap(r, t)[0]) for t in targets]
+        errors = sorted(tangent_angle_error([b], [t]) for b, t in zip(best, targets))
+        assert errors == pytest.approx([0.1861112761, 0.5430984566], abs=1e-9)
+    df = spark.createDataFrame([([{"x": x, "y": y} for x, y in square.tolist()], None)], f"a {g.RING}, b {g.RING}")
+    assert with_tangent_angle_error(df, "a", "a").first()["angle_error"] == pytest.approx(0, abs=1e-7)
+    assert with_tangent_angle_error(df, "a", "b").first()["angle_error"] is None
