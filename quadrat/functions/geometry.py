@@ -266,3 +266,15 @@ def handled(kind: str, r: Column) -> Column:
     if kind == "POLYGON":
         return r
     raise ValueError(f"unknown kind of geometry {kind}")
+
+
+def image_box(box: Column, a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> Column:
+    """A world box as ``struct<x, y, w, h>`` in pixels: both corners are floored by the inverse affine."""
+    corners = affine_inverse(ring((box["x1"], box["y1"]), (box["x2"], box["y2"])), a, b, c, d, e, f)
+
+    def bounds_of(r: Column) -> Column:
+        x = F.transform(r, lambda p: F.floor(p["x"]).cast("double"))
+        y = F.transform(r, lambda p: F.floor(p["y"]).cast("double"))
+        return F.struct(F.array_min(x).alias("x"), F.array_min(y).alias("y"), (F.array_max(x) - F.array_min(x)).alias("w"), (F.array_max(y) - F.array_min(y)).alias("h"))
+
+    return let(corners, bounds_of)

@@ -131,6 +131,22 @@ def denormalize(pixels: Column, mean: Column, std: Column) -> Column:
     return F.transform(pixels, lambda v: v * std + mean)
 
 
+def normalize(pixels: Column, mean: Column, std: Column) -> Column:
+    """``(v - mean) / std``; NULL for a deviation of 0."""
+    return F.transform(pixels, lambda v: F.try_divide(v - mean, std))
+
+
+def flipped(pixels: Column, width: int) -> Column:
+    """The raster mirrored left to right."""
+    rows = F.sequence(F.lit(0), (F.size(pixels) / width).cast("int") - 1)
+    return F.flatten(F.transform(rows, lambda r: F.reverse(F.slice(pixels, r * width + 1, F.lit(width)))))
+
+
+def valid_crop(freq: Column, size: Column) -> Column:
+    """Whether a crop holds every class and no vanishing object."""
+    return (F.array_min(freq) > 0) & (F.array_min(size) > 0)
+
+
 def pixel_weight(freq: Column, distance: Column, size: Column, w0: float = 50.0, sigma: float = 10.0, radius: float = 10.0) -> Column:
     """Loss weight of a pixel: rarity of its class plus closeness to two objects, larger for small ones.
 

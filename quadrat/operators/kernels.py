@@ -270,6 +270,20 @@ def simplify(df: DataFrame, ring: str, tolerance: float) -> DataFrame:
     return df.mapInPandas(run, T.StructType([T.StructField(f.name, _RING_TYPE) if f.name == ring else f for f in df.schema.fields]))
 
 
+def repair(df: DataFrame, ring: str) -> DataFrame:
+    """One row per simple part of a ring, numbered ``part``; a ring without area has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [[[{"x": float(x), "y": float(y)} for x, y in p] for p in simple_parts(_xy(r))] if r is not None else [] for r in batch[ring]]
+            out = batch.loc[batch.index.repeat([len(p) for p in parts])].copy()
+            out[ring] = pd.Series([p for many in parts for p in many], index=out.index, dtype=object)
+            out["part"] = np.array([k for many in parts for k in range(len(many))], np.int32)
+            yield out
+
+    return df.mapInPandas(run, T.StructType([*[T.StructField(f.name, _RING_TYPE) if f.name == ring else f for f in df.schema.fields], T.StructField("part", T.IntegerType())]))
+
+
 # Rasterising.  A pixel belongs to a polygon if its centre does (even-odd rule).
 
 

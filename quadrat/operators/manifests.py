@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quadrat.functions.paths import stem
+from quadrat.session import cut, small
 
 
 def merge_manifests(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -39,7 +40,7 @@ def missing_outputs(manifest: DataFrame, outputs: DataFrame, key: str) -> DataFr
 
 def shape_groups(manifest: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
     """Number of images per shape, the largest area first: ``rank`` is that order."""
-    groups = manifest.groupBy(width, height).agg(F.count("*").alias("n"))
+    groups = manifest.where(F.col(width).isNotNull() & F.col(height).isNotNull()).groupBy(width, height).agg(F.count("*").alias("n"))
     area = F.col(width) * F.col(height)
     return groups.withColumn("area", area).withColumn("rank", F.row_number().over(W.orderBy(area.desc(), width, height)))
 
@@ -62,11 +63,11 @@ def numbered(rows: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     task holds more than its partition.
     """
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = parts.withColumn("_id", F.monotonically_increasing_id())
+    parts = cut(parts.withColumn("_id", F.monotonically_increasing_id()))  # range bounds are sampled, so the ids must be kept
     parts = parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id") - F.shiftleft("_part", 33))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_id", "_part", "_in", "_before")
+    return parts.join(small(before, parts.rdd.getNumPartitions()), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_id", "_part", "_in", "_before")
 
 
 def cycle_zip(longer: DataFrame, shorter: DataFrame, pos: str = "pos") -> DataFrame:

@@ -83,3 +83,15 @@ def predict_missing(manifest: DataFrame, outputs: DataFrame, key: str) -> DataFr
     """What is still to predict, the largest shapes first (``rank``)."""
     left = manifests.missing_outputs(manifest, outputs, key)
     return left.join(manifests.shape_groups(left).select("width", "height", "rank"), ["width", "height"])
+
+
+def polygonize_tokens(sequences: DataFrame, min_area: float = 0.0, tolerance: float = 0.0, grid: int = 28) -> DataFrame:
+    """Polygons of decoded token sequences (``tokens, scale_w, scale_h, min_col, min_row`` and other columns).
+
+    Three vertices at least; parts of an area of ``min_area`` or more; simplified unless ``tolerance`` is 0.
+    """
+    from quadrat.functions import sequences as s
+
+    ring = s.decode(F.col("tokens"), grid, F.col("scale_w"), F.col("scale_h"), F.col("min_col"), F.col("min_row"))
+    parts = kernels.repair(sequences.withColumn("ring", ring).where("size(ring) > 2"), "ring").where(g.area(F.col("ring")) >= min_area)
+    return kernels.simplify(parts, "ring", tolerance) if tolerance else parts

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrat.functions import geometry as g
 from quadrat.functions import rasters as r
-from quadrat.operators import kernels, logs, tiles
+from quadrat.operators import active, kernels, logs, skeletons, tiles
 from quadrat.plans.derived import PIXELS_SQL, rasters, rings
 from quadrat.session import table
 
@@ -137,6 +137,18 @@ def simple_polygonize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("image", "poly", F.round("area", 6).alias("area"), F.round("probability", 6).alias("probability"), F.size("ring").alias("n_vertices"), "error")
 
 
+def active_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of the rasters above 0, fitted in fifty steps."""
+    p = active.active_contours(rasters(spark, sf_dir), 8, 8, level=0.0, tolerance=0.5, min_area=1.0, min_probability=0.0, steps=50)
+    return p.select("image", "poly", F.round("area", 4).alias("area"), F.size("ring").alias("n_vertices"), "error")
+
+
+def skeleton_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of the skeletons of the rasters above 0."""
+    p = rasters(spark, sf_dir).select("image", F.transform("pixels", lambda v: (v > 0).cast("double")).alias("pixels"))
+    return skeletons.skeleton_paths(p, 8, 8)
+
+
 def crop_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings cut by the boxes of their image, one after the other."""
     p = _shifted(spark, sf_dir).withColumnRenamed("pos", "poly")
@@ -149,7 +161,7 @@ def crop_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (pixel_iou_thresholds, dice_loss, tversky_loss, cross_entropy, band_stats, tile_explode, tile_merge, laplacian, scharr_gradient, bilinear_sample, clear_frame, crossfield_uv, align_error, pixel_weights)
-} | {f.__name__: f for f in (raster_masks, simple_polygonize, crop_cascade)}
+} | {f.__name__: f for f in (raster_masks, simple_polygonize, active_contours, skeleton_paths, crop_cascade)}
 
 _PT = PIXELS_SQL + ", pt AS (SELECT image, i, greatest(0, least(1, v + 0.5::DOUBLE))::DOUBLE AS p, (u > 0)::INT AS y FROM px) "
 _SUMS = "sum(p * y) AS tp, sum(p * (1 - y)) AS fp, sum((1 - p) * y) AS fn"

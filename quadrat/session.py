@@ -49,7 +49,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], per_slice: i
     """Inner join in which a hot key of ``left`` is spread over several tasks.
 
     A key that ``left`` holds n times is cut into ceil(n / per_slice) slices; the rows of
-    ``right`` with that key are repeated once per slice.  Rows with a null key join nothing.
+    ``right`` with that key are repeated once per slice.  The slice of a row follows from its other
+    columns, so equal rows share one.  Rows with a null key join nothing.
     """
     counts = left.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(per_slice)).cast("int").alias("_slices")).where("_slices > 1")
     hot = cut(counts)
@@ -57,7 +58,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], per_slice: i
     if n == 0:
         return left.join(right, keys)
     hot = small(hot, n)
-    spread = (F.rand(17) * F.coalesce("_slices", F.lit(1))).cast("int")
-    a = left.join(hot, keys, "left").withColumn("_slice", spread).drop("_slices")
+    # a hash of the row and no random number: a task that is run again must give the same slices
+    row = F.xxhash64(*[c for c in left.columns if c not in keys])
+    a = left.join(hot, keys, "left").withColumn("_slice", F.pmod(row, F.coalesce("_slices", F.lit(1))).cast("int")).drop("_slices")
     b = right.join(hot, keys, "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_slices")
     return a.join(b, [*keys, "_slice"]).drop("_slice")

@@ -69,3 +69,9 @@ def band_rows(rasters: DataFrame) -> DataFrame:
     rows = rasters.where("pixels is not null").select("image", "width", "height", F.posexplode("pixels").alias("i", "v"))
     size = F.col("width") * F.col("height")
     return rows.select("image", F.floor(F.col("i") / size).cast("int").alias("band"), F.floor((F.col("i") % size) / F.col("width")).cast("int").alias("row"), (F.col("i") % F.col("width")).alias("col"), "v")
+
+
+def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """SHA-1 of files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return files.select("path", F.sha1("content").alias("sha1"))
