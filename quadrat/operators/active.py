@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from quadrat.operators.kernels import _closed_contours, fill, ring_area, simplify_line
+from quadrat.session import spread
 
 SCHEMA = "image bigint, poly bigint, area double, probability double, ring array<struct<x:double,y:double>>, error string"
 
@@ -119,4 +120,4 @@ def active_contours(rasters: DataFrame, height: int, width: int, level: float =
             rows = [row for image, values, parts in zip(batch["image"], batch["pixels"], fields) for row in one(image, values, parts)]
             yield pd.DataFrame(rows, columns=["image", "poly", "area", "probability", "ring", "error"]).astype({"poly": "Int64"})
 
-    return rasters.select("image", "pixels", *(["field"] if has_field else [])).mapInPandas(run, SCHEMA)
+    return spread(rasters.select("image", "pixels", *(["field"] if has_field else [])), "image").mapInPandas(run, SCHEMA)

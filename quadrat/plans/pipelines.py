@@ -1,4 +1,4 @@
-"""The reference workflows as plans: annotations to masks, scores to polygons, evaluation."""
+"""Whole workflows as plans: annotations to masks, scores to polygons, evaluation."""
 
 from __future__ import annotations
 
