@@ -93,6 +93,11 @@ def _rings(value: Any) -> list[tuple[int, Any]]:
     return []
 
 
+def _name(value: Any) -> str:
+    """An id as text, quoted or not, whole numbers alike however they are written."""
+    return str(int(value)) if isinstance(value, float) and value.is_integer() else str(value).strip()
+
+
 def _json(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
@@ -136,15 +141,15 @@ def nodes(body: str | None) -> Iterator[tuple[str, str, str, str, str]]:
     if "annotations" in top or "images" in top or "categories" in top:
         found: dict[str, str] = {}
         for member, kind in (("images", "image"), ("categories", "category"), ("licenses", "license")):
-            for i, item in enumerate(_items(top.get(member))):
+            for i, item in enumerate(map(_nested, _items(top.get(member)))):
                 if isinstance(item, dict):
                     yield "coco", kind, f"{member}[{i}]", "$", _json(item)
                     if kind == "image" and item.get("id") is not None:
-                        found.setdefault(str(item["id"]).strip(), f"{member}[{i}]")
-        for i, item in enumerate(_items(top.get("annotations"))):
+                        found.setdefault(_name(item["id"]), f"{member}[{i}]")
+        for i, item in enumerate(map(_nested, _items(top.get("annotations")))):
             if isinstance(item, dict):
                 image = item.get("image_id")
-                parent = found.get(str(image).strip(), "") if image is not None else ""
+                parent = found.get(_name(image), "") if image is not None else ""
                 for variant, kind, path, owner, payload in records("annotations", parent, "annotation", [item], "coco"):
                     yield variant, kind, path.replace("annotations[0]", f"annotations[{i}]", 1), owner.replace("annotations[0]", f"annotations[{i}]", 1), payload
     elif "objects" in top or "imgWidth" in top or "imgHeight" in top:

@@ -57,6 +57,11 @@ def test_bodies(body, expected):
     assert found(body) == sorted(expected)
 
 
+def test_texts_within_lists_and_ids():
+    body = {"images": json.dumps([{"id": 7.0}, {"id": 7}]), "annotations": [json.dumps({"image_id": " 7"})]}
+    assert found(body) == [("annotation", "annotations[0]", "images[0]"), ("image", "images[0]", "$"), ("image", "images[1]", "$")]
+
+
 def test_states():
     assert [state(v) for v in (None, 1, True, "a", [1, 2], [1, 2, 3, 4], RING, [RING], {}, [{}], [1], [], "[[1, 2], [3, 4]]")] == [
         "null", "number", "flag", "text", "pair", "ring", "ring", "rings", "record", "records", "other", "empty", "ring",
