@@ -14,7 +14,7 @@ def canonical_path(path: Column) -> Column:
 
     Letter case, kind and number of slashes, a leading ``./`` or ``/`` and outer blanks.
     """
-    bare = F.regexp_replace(F.lower(path), r"^[\s ]+|[\s ]+$", "")
+    bare = F.regexp_replace(F.lower(path), "^[\\s\u00a0]+|[\\s\u00a0]+$", "")
     return F.regexp_replace(F.regexp_replace(bare, r"[\\/]+", "/"), r"^(?:\./|/)+", "")
 
 
