@@ -27,7 +27,7 @@ TEST = ["test", "testing", "teste"]
 
 def split_of(text: Column) -> Column:
     """``train``, ``val``, ``test`` or NULL, however the split is spelled."""
-    plain = F.regexp_replace(F.lower(text), r"^[\s ]+|[\s ]+$", "")
+    plain = F.regexp_replace(F.lower(text), "^[\\s\u00a0]+|[\\s\u00a0]+$", "")
     return F.when(plain.isin(TRAIN), "train").when(plain.isin(VAL), "val").when(plain.isin(TEST), "test")
 
 

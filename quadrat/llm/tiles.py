@@ -24,7 +24,7 @@ _SHEET = r"([0-9lo]{4})[-_ ]?([1-4l])[-_ ]?([ns][eo0])(?![0-9a-z])"
 
 
 def _clean(path: Column) -> Column:
-    text = F.regexp_replace(F.lower(path), "%20|[\\s ]", " ")
+    text = F.regexp_replace(F.lower(path), "%20|[\\s\u00a0]", " ")
     text = F.regexp_replace(F.regexp_replace(text, "%2b", "+"), r"%5c|%2f|\\", "/")
     return F.regexp_replace(F.trim(text), r"\.[a-z0-9]{2,4}$", "")
 
