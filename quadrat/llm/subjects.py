@@ -38,6 +38,9 @@ SHARE = 0.2
 #: Labelled documents that the model is fitted on, at most (chosen by the hash of their id).
 SAMPLE = 4000
 BEAM = 4
+#: Share of a term's documents that must deal with a subject for the term to speak for it, first by labels, then by content.
+PURE_LABELLED = 0.35
+PURE = 0.5
 
 #: Frequent words that tell the languages apart (fixed values).
 STOP_WORDS = [
@@ -157,11 +160,20 @@ def fit(texts: list[list[list[str]]], labels: list[list[tuple[str, str]]], sourc
     n, size = len(doc), len(words)
     language = _languages(np.stack([np.bincount(sent, weights=votes[token, j], minlength=n) for j in range(_LANGUAGES)], 1), doc, docs)
     term = language[sent] * size + token
-    seen = np.unique(np.stack([doc[sent], term]), axis=1)[1]
-    often = np.bincount(seen, minlength=_LANGUAGES * size) >= (3 if docs >= 400 else 2)
+    seen_in, seen = np.unique(np.stack([doc[sent], term]), axis=1)
+    spread = np.bincount(seen, minlength=_LANGUAGES * size)
+    often = spread >= (3 if docs >= 400 else 2)
+    doubt = min(6.0, max(1.0, docs / 600))  # so many average documents are added to a term's own: chance pairs grow with the sample
     raters = sorted({r for row in labels for _, r in row})
     trust = dict.fromkeys(raters, 0.7)
 
+    def calm(share: np.ndarray) -> np.ndarray:
+        """Chances of a sentence's subject before it is read: half that it has none."""
+        out = share.copy()
+        out[:, :k] *= 0.5 / np.maximum(1e-9, out[:, :k].sum(1, keepdims=True))
+        out[:, k] = 0.5
+        return out
+
     def belief() -> np.ndarray:
         base = np.full((docs, k + 1), 0.25)
         base[:, k] += 1
@@ -173,15 +185,27 @@ def fit(texts: list[list[list[str]]], labels: list[list[tuple[str, str]]], sourc
     prior = belief()
     prior /= prior.sum(1, keepdims=True)
     post = prior[doc]
-    for _ in range(rounds):
+    member = np.zeros((docs, k))
+    for d, row in enumerate(labels):
+        for subject, _ in row:
+            member[d, where[subject]] = 1
+    for step in range(rounds):
         count = np.stack([np.bincount(term, weights=post[sent, c], minlength=_LANGUAGES * size) for c in range(k + 1)], 1)
         whole = np.stack([np.bincount(language, weights=post[:, c], minlength=_LANGUAGES) for c in range(k + 1)], 1)
         per_term = np.repeat(whole, size, axis=0)
         rate = count.sum(1, keepdims=True) / np.maximum(1e-9, per_term.sum(1, keepdims=True))
-        sure = np.maximum(0, count - 0.5 * np.sqrt(count))
+        sure = np.maximum(0, count - np.sqrt(count))
         weight = np.where(often[:, None] & (rate > 0), np.log((sure + 2 * rate + 1e-12) / (per_term + 2)) - np.log(np.maximum(rate, 1e-12)), 0)
         weight = np.clip(weight, -4, 4)
-        score = np.stack([np.bincount(sent, weights=weight[term, c], minlength=n) for c in range(k + 1)], 1) + np.log(prior[doc])
+        # A term speaks for a subject only if most documents that hold it deal with that subject; what stands
+        # in documents of every kind (headings, signatures, standing phrases) says nothing at all.
+        base = member.mean(0)
+        pure = np.stack([np.bincount(seen, weights=member[seen_in, c], minlength=_LANGUAGES * size) for c in range(k)], 1)
+        pure = (pure + doubt * base) / (spread[:, None] + doubt)
+        own = pure >= (PURE_LABELLED if step == 0 else PURE)
+        weight = np.where(np.column_stack([own, np.zeros(len(own), bool)]), weight, np.minimum(weight, 0))
+        weight[~own.any(1)] = 0
+        score = np.stack([np.bincount(sent, weights=weight[term, c], minlength=n) for c in range(k + 1)], 1) + np.log(calm(prior)[doc])
         score -= score.max(1, keepdims=True)
         post = np.exp(score)
         post /= post.sum(1, keepdims=True)
@@ -193,6 +217,7 @@ def fit(texts: list[list[list[str]]], labels: list[list[tuple[str, str]]], sourc
                 asked[rater] += 1
                 right[rater] += min(1.0, 3 * held[d, where[subject]] / lengths[d])
         trust = {r: right[r] / asked[r] for r in raters}
+        member = (held[:, :k] / lengths[:, None] >= SHARE).astype(float)
         base = belief()
         prior = (held + base) / (held + base).sum(1, keepdims=True)
 

@@ -34,7 +34,7 @@ def words(text: str | None) -> list[str]:
 
 
 _BLOCK_TAG = re.compile(r"</?(?:p|li|ul|ol|h[1-6]|div|br|tr|td|th|table|pre|blockquote|body|html|title)\b[^<>]{0,300}>", re.IGNORECASE)
-_END = re.compile(r"[.!?:]+(?=\s|$)|\n\s*\n|\n(?=\s*(?:[-*#|\[=]|\d+[.)]))")
+_END = re.compile(r"[.!?]+(?=\s|$)|\n\s*\n|\n(?=\s*(?:[-*#|\[=]|\d+[.)]))")
 
 
 def sentences(text: str | None) -> list[list[str]]:

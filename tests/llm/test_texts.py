@@ -16,7 +16,7 @@ def test_words():
 
 
 def test_sentences():
-    assert sentences("One two three. Four five.\n\n- six seven eight\n- nine ten eleven <p>x y z</p>") == [["one", "two", "three"], ["six", "seven", "eight"], ["nine", "ten", "eleven"], ["x", "y", "z"]]
+    assert sentences("One two: three. Four five.\n\n- six seven eight\n- nine ten eleven <p>x y z</p>") == [["one", "two", "three"], ["six", "seven", "eight"], ["nine", "ten", "eleven"], ["x", "y", "z"]]
     assert sentences(None) == sentences("") == []
 
 
