@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quadrat.session import cut
+from quadrat.operators.grouped import Arrays, map_groups
+from quadrat.session import cut, small
 
 CHANGE_SCHEMA = "series string, file_seq int, change_kind string, old_field string, new_field string"
 #: Share of common images whose value must agree for a rename.
@@ -45,9 +46,12 @@ def _lines(df: DataFrame) -> DataFrame:
 
 
 def _cells(lines: DataFrame) -> DataFrame:
-    """One row per line and field: its type, its value as text, and the line's image."""
+    """One row per line and field: its type, its value as text, and the line's image.
+
+    ``starts`` marks one row of each line; a line without fields has just that.
+    """
     view = lines.select("series", "file_seq", "doc", F.try_variant_get("doc", "$.image", "string").alias("image"))
-    exploded = view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("doc").outer()))
+    exploded = view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("doc").outer()), how="left")
     raw = F.schema_of_variant("value")
     kind = (
         F.when(F.col("value").isNull() | (raw == "VOID"), F.lit(None))
@@ -59,14 +63,15 @@ def _cells(lines: DataFrame) -> DataFrame:
         .when(raw.startswith("ARRAY"), "array")
         .when(raw.startswith("OBJECT"), "object")
     )
-    return exploded.select("series", "file_seq", "image", F.col("key").alias("field"), kind.alias("kind"), F.to_json("value").alias("value"))
+    starts = F.coalesce(F.col("pos") == 0, F.lit(True))
+    return exploded.select("series", "file_seq", "image", F.col("key").alias("field"), kind.alias("kind"), F.to_json("value").alias("value"), starts.alias("starts"))
 
 
-def file_fields(lines: DataFrame, cells: DataFrame) -> DataFrame:
+def file_fields(cells: DataFrame) -> DataFrame:
     """Fields that belong to each file: ``series, file_seq, prev_seq, field, kind``."""
-    files = lines.groupBy("series", "file_seq").agg(F.count("*").alias("n_lines"))
+    files = cells.groupBy("series", "file_seq").agg(F.count_if("starts").alias("n_lines"))
     files = files.withColumn("prev_seq", F.lag("file_seq").over(W.partitionBy("series").orderBy("file_seq")))
-    counts = cells.groupBy("series", "file_seq", "field", "kind").agg(F.count("*").alias("n"))
+    counts = cells.where("field is not null").groupBy("series", "file_seq", "field", "kind").agg(F.count("*").alias("n"))
     fields = counts.groupBy("series", "file_seq", "field").agg(
         F.sum("n").alias("n"),
         F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("kind"),
@@ -125,9 +130,8 @@ def match_fields(old: list[tuple[str, str | None]], new: list[tuple[str, str | N
 
 def schema_changes(df: DataFrame) -> DataFrame:
     """Changes of each file against its predecessor, from ``series, file_seq, body`` lines."""
-    lines = _lines(df)
-    cells = cut(_cells(lines))
-    fields = cut(file_fields(lines, cells))
+    cells = cut(_cells(_lines(df)))
+    fields = cut(file_fields(cells))
 
     now = fields.where("prev_seq is not null").select("series", "file_seq", F.col("prev_seq"), "field", "kind")
     links = fields.where("prev_seq is not null").select("series", "file_seq", "prev_seq").distinct()
@@ -139,12 +143,15 @@ def schema_changes(df: DataFrame) -> DataFrame:
     came = both.where("in_old is null").select("series", "file_seq", "prev_seq", F.col("field").alias("new_field"), "new_kind")
 
     text = F.regexp_replace("value", '^"|"$', "")
-    number = text.try_cast("double")
-    plain = F.coalesce(number.cast("string"), text)
-    values = cells.where("kind is not null and image is not null").groupBy("series", "file_seq", "image", "field").agg(F.min(plain).alias("v"))
-    a = values.select("series", F.col("file_seq").alias("prev_seq"), "image", F.col("field").alias("old_field"), F.col("v").alias("old_v")).join(gone, ["series", "prev_seq", "old_field"])
-    b = values.select("series", "file_seq", "image", F.col("field").alias("new_field"), F.col("v").alias("new_v")).join(came, ["series", "file_seq", "new_field"])
-    pairs = a.join(b.drop("prev_seq"), ["series", "file_seq", "image"]).groupBy("series", "file_seq", "old_field", "new_field").agg(F.avg((F.col("old_v") == F.col("new_v")).cast("double")).alias("share"))
+    plain = F.coalesce(text.try_cast("double").cast("string"), text)
+    moving = gone.select("series", F.col("prev_seq").alias("at_seq"), "file_seq", F.col("old_field").alias("field"), F.lit(True).alias("old"))
+    moving = cut(moving.unionByName(came.select("series", F.col("file_seq").alias("at_seq"), "file_seq", F.col("new_field").alias("field"), F.lit(False).alias("old"))))
+    held = cells.where("kind is not null and image is not null").select("series", F.col("file_seq").alias("at_seq"), "field", "image", "value")
+    held = held.join(small(moving, moving.count()), ["series", "at_seq", "field"])  # only values of fields that come or go
+    values = held.groupBy("series", "file_seq", "image", "old", "field").agg(F.min(plain).alias("v"))
+    a = values.where("old").select("series", "file_seq", "image", F.col("field").alias("old_field"), F.col("v").alias("old_v"))
+    b = values.where("not old").select("series", "file_seq", "image", F.col("field").alias("new_field"), F.col("v").alias("new_v"))
+    pairs = a.join(b, ["series", "file_seq", "image"]).groupBy("series", "file_seq", "old_field", "new_field").agg(F.avg((F.col("old_v") == F.col("new_v")).cast("double")).alias("share"))
 
     blank = F.lit(None).cast("string")
     work = (
@@ -153,20 +160,23 @@ def schema_changes(df: DataFrame) -> DataFrame:
         .unionByName(pairs.select("series", "file_seq", "old_field", blank.alias("old_kind"), "new_field", blank.alias("new_kind"), "share"))
     )
 
-    def decide(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        shares = {(r.old_field, r.new_field): r.share for r in part.itertuples() if r.share is not None and r.share == r.share}
-        old = sorted({(r.old_field, r.old_kind) for r in part.itertuples() if r.new_field is None}, key=str)
-        new = sorted({(r.new_field, r.new_kind) for r in part.itertuples() if r.old_field is None}, key=str)
+    def decide(part: Arrays) -> Arrays:
+        rows = list(zip(part["old_field"], part["old_kind"], part["new_field"], part["new_kind"], part["share"]))
+        shares = {(o, n): x for o, _, n, _, x in rows if o is not None and n is not None}
+        old = sorted({(o, k) for o, k, n, _, _ in rows if n is None}, key=str)
+        new = sorted({(n, k) for o, _, n, k, _ in rows if o is None}, key=str)
         renames = match_fields(old, new, shares)
         a, b = {x for x, _ in renames}, {y for _, y in renames}
         kinds_old, kinds_new = dict(old), dict(new)
-        rows = [("renamed", x, y) for x, y in renames]
-        rows += [("removed", x, "") for x, _ in old if x not in a]
-        rows += [("added", "", y) for y, _ in new if y not in b]
-        rows += [("retyped", x, y) for x, y in renames if kinds_old[x] and kinds_new[y] and kinds_old[x] != kinds_new[y]]
-        return pd.DataFrame([(key[0], key[1], *r) for r in rows], columns=["series", "file_seq", "change_kind", "old_field", "new_field"])
-
-    moved = work.groupBy("series", "file_seq").applyInPandas(decide, CHANGE_SCHEMA)
+        out = [("renamed", x, y) for x, y in renames]
+        out += [("removed", x, "") for x, _ in old if x not in a]
+        out += [("added", "", y) for y, _ in new if y not in b]
+        out += [("retyped", x, y) for x, y in renames if kinds_old[x] and kinds_new[y] and kinds_old[x] != kinds_new[y]]
+        found = {"series": np.repeat(part["series"][:1], len(out)), "file_seq": np.repeat(part["file_seq"][:1], len(out))}
+        return found | {name: np.array([row[k] for row in out], object) for k, name in enumerate(("change_kind", "old_field", "new_field"))}
+
+    keyed = work.withColumn("pair", F.concat_ws("\x00", F.col("file_seq").cast("string"), "series"))
+    moved = map_groups(keyed, "pair", [], decide, CHANGE_SCHEMA)
     retyped = both.where("in_old and in_new and old_kind <> new_kind").select("series", "file_seq", F.lit("retyped").alias("change_kind"), F.col("field").alias("old_field"), F.col("field").alias("new_field"))
     return moved.unionByName(retyped)
 
