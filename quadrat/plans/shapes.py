@@ -9,6 +9,7 @@ from quadrat.functions import geometry as g
 from quadrat.functions import sequences as s
 from quadrat.operators import contour_metrics, kernels, lines, tiles
 from quadrat.plans.derived import rings, rings_sql
+from quadrat.session import spread
 
 
 
@@ -60,7 +61,7 @@ def frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def polygon_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IoU of ring a's box and that box moved by (2, 1), both taken as polygons."""
     box = lambda dx, dy: g.ring(*[(x + dx, y + dy) for x, y in ((F.col("x0"), F.col("y0")), (F.col("x0") + F.col("w"), F.col("y0")), (F.col("x0") + F.col("w"), F.col("y0") + F.col("h")), (F.col("x0"), F.col("y0") + F.col("h")))])
-    o = kernels.with_polygon_iou(rings(spark, sf_dir).select("id", box(0, 0).alias("p"), box(2, 1).alias("q")), "p", "q")
+    o = kernels.with_polygon_iou(spread(rings(spark, sf_dir), "id").select("id", box(0, 0).alias("p"), box(2, 1).alias("q")), "p", "q")
     return o.select("id", *[F.round(c, 6).alias(c) for c in ("iou", "inter", "uni")])
 
 
@@ -132,7 +133,7 @@ def teacher_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tangent_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest angle between the outline of b and that of a."""
-    e = contour_metrics.with_tangent_angle_error(rings(spark, sf_dir).select("id", "a", "b"), "a", "b")
+    e = contour_metrics.with_tangent_angle_error(spread(rings(spark, sf_dir), "id").select("id", "a", "b"), "a", "b")
     return e.select("id", F.round("angle_error", 6).alias("angle_error"))
 
 
