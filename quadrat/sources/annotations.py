@@ -18,6 +18,11 @@ def polygons_of(body: Column) -> Column:
     return F.from_json(body, "struct<imgWidth:int,imgHeight:int,objects:array<struct<class:int,polygon:array<array<double>>>>>")
 
 
+def keypoints_of(body: Column) -> Column:
+    """Keypoints of a body, a list of points per object; broken ones give NULL."""
+    return F.transform(F.from_json(body, "array<array<array<double>>>"), lambda points: F.transform(points, lambda p: g.point(p[0], p[1])))
+
+
 def polygon_of(body: Column) -> Column:
     """The ring of a cropped polygon's body."""
     return F.transform(F.from_json(body, "struct<polygon:array<array<double>>>")["polygon"], lambda p: g.point(p[0], p[1]))

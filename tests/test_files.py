@@ -88,6 +88,11 @@ def test_annotation_bodies(spark):
     assert json.loads(sinks.polygons_json(got, "k").first()["body"]) == json.loads(body)
 
 
+def test_keypoints(spark):
+    df = spark.createDataFrame([("[[[1, 2], [3, 4]], []]",), ("{",)], "body string").select(annotations.keypoints_of(F.col("body")).alias("k"))
+    assert [[[(p["x"], p["y"]) for p in o] for o in r["k"]] if r["k"] is not None else None for r in df.collect()] == [[[(1, 2), (3, 4)], []], None]
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "2024-01-01 00:10:00", "a", 2.0), (2, "2024-01-01 00:20:00", "a", 4.0)], "id int, ts string, k string, v double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "in"))
     stream = streaming.stream_table(spark, str(tmp_path / "in"), "id int, ts timestamp, k string, v double")
