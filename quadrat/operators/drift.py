@@ -28,7 +28,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,7 +68,7 @@ def _cells(lines: DataFrame) -> DataFrame:
 
 
 def file_fields(cells: DataFrame) -> DataFrame:
-    """Fields that belong to each file: ``series, file_seq, prev_seq, field, kind``."""
+    """Fields that belong to each file, with the number of its lines that carry them: ``series, file_seq, prev_seq, field, kind, n``."""
     files = cells.groupBy("series", "file_seq").agg(F.count_if("starts").alias("n_lines"))
     files = files.withColumn("prev_seq", F.lag("file_seq").over(W.partitionBy("series").orderBy("file_seq")))
     counts = cells.where("field is not null").groupBy("series", "file_seq", "field", "kind").agg(F.count("*").alias("n"))
@@ -76,7 +76,7 @@ def file_fields(cells: DataFrame) -> DataFrame:
         F.sum("n").alias("n"),
         F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("kind"),
     )
-    return fields.join(files, ["series", "file_seq"]).where("n * 2 > n_lines").select("series", "file_seq", "prev_seq", "field", "kind")
+    return fields.join(files, ["series", "file_seq"]).where("n * 2 > n_lines").select("series", "file_seq", "prev_seq", "field", "kind", "n")
 
 
 def _words(name: str) -> list[str]:
@@ -131,8 +131,10 @@ def match_fields(old: list[tuple[str, str | None]], new: list[tuple[str, str | N
 def schema_changes(df: DataFrame) -> DataFrame:
     """Changes of each file against its predecessor, from ``series, file_seq, body`` lines."""
     cells = cut(_cells(_lines(df)))
-    fields = cut(file_fields(cells))
+    return _changes(cells, cut(file_fields(cells)))
 
+
+def _changes(cells: DataFrame, fields: DataFrame) -> DataFrame:
     now = fields.where("prev_seq is not null").select("series", "file_seq", F.col("prev_seq"), "field", "kind")
     links = fields.where("prev_seq is not null").select("series", "file_seq", "prev_seq").distinct()
     before = fields.select("series", F.col("file_seq").alias("prev_seq"), "field", F.col("kind").alias("old_kind")).join(links, ["series", "prev_seq"])
@@ -181,14 +183,73 @@ def schema_changes(df: DataFrame) -> DataFrame:
     return moved.unionByName(retyped)
 
 
+#: Column types of the kinds of value.
+TYPES = {"integer": "bigint", "decimal": "double", "boolean": "boolean", "string": "string", "array": "array<string>", "object": "map<string,string>"}
+
+
+def common_kinds(counts: list[tuple[str, str | None, int]]) -> dict[str, str]:
+    """The common kind of each field from (field, kind, values).
+
+    Integers and decimals count together and give decimals; else the kind of most values wins
+    (ties: the first by name).  A field with nothing but nulls is a string.
+    """
+    votes: dict[str, dict[str, int]] = {}
+    for field, kind, n in counts:
+        own = votes.setdefault(field, {})
+        if kind is not None:
+            own[kind] = own.get(kind, 0) + n
+    kinds = {}
+    for field, own in sorted(votes.items()):
+        number = "decimal" if "decimal" in own else "integer"
+        pooled: dict[str, int] = {}
+        for kind, n in own.items():
+            key = number if kind in ("integer", "decimal") else kind
+            pooled[key] = pooled.get(key, 0) + n
+        kinds[field] = min(pooled, key=lambda k: (-pooled[k], k), default="string")
+    return kinds
+
+
+def column_names(fields: list[str], taken: list[str]) -> list[str]:
+    """A column name for each field; names that differ in case only, or are taken, get a number."""
+    reserved, names = {x.lower() for x in (*taken, *fields)}, []
+    seen = {t.lower() for t in taken}
+    for field in fields:
+        name, k = field or "_", 2
+        while name.lower() in seen:
+            name = f"{field or '_'}_{k}" if f"{field or '_'}_{k}".lower() not in reserved else name
+            k += 1
+        seen.add(name.lower())
+        names.append(name)
+    return names
+
+
+def _cast_text(text: Column, nested: Column, kind: str) -> Column:
+    """``text`` as a value of ``kind``; NULL if it is none."""
+    if kind == "integer":
+        return F.when(text.rlike(r"^\s*[-+]?\d+(\.0*)?\s*$"), F.regexp_replace(F.trim(text), r"\.0*$", "").try_cast("bigint"))
+    if kind == "decimal":
+        return F.when(text.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"), text.try_cast("double"))
+    if kind == "boolean":
+        return text.try_cast("boolean")
+    if kind == "string":
+        return F.when(~nested, text)
+    return F.when(text.rlike(r"^\s*\[" if kind == "array" else r"^\s*\{"), F.from_json(text, TYPES[kind]))
+
+
 def unified_records(df: DataFrame) -> DataFrame:
-    """Every readable line under one schema: ``record_id, series, file_seq, image, fields``.
+    """Every readable line under one schema: ``record_id, series, file_seq, image, fields, uncast`` and a typed column per field.
 
     A field carries the name it had when it first appeared in its series (renames are followed
-    file by file); ``fields`` maps that name to the value's JSON text, numbers and quoted numbers
-    written alike.  Unreadable lines come out with NULL ``image`` and ``fields``.
+    file by file).  Each field that belongs to some file has a column of the common type of its
+    values in all files, to which every value is cast.  ``fields`` maps the names to the values'
+    JSON text, numbers and quoted numbers written alike; ``uncast`` holds the part of it that no
+    column has: values that aren't of the common type, and fields of single records.  Columns
+    whose names differ in case only are numbered.  Unreadable lines come out with NULL ``image``,
+    ``fields``, ``uncast`` and columns.
     """
-    changes = schema_changes(df).where("change_kind = 'renamed'").select("series", "file_seq", "old_field", "new_field")
+    cells = cut(_cells(_lines(df)))
+    belongs = cut(file_fields(cells))
+    changes = _changes(cells, belongs).where("change_kind = 'renamed'").select("series", "file_seq", "old_field", "new_field")
 
     def chains(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         first: dict[str, str] = {}
@@ -203,18 +264,33 @@ def unified_records(df: DataFrame) -> DataFrame:
 
     names = changes.groupBy("series").applyInPandas(chains, "series string, from_seq int, names map<string,string>")
     files = df.select("series", F.col("file_seq").cast("int").alias("file_seq")).distinct()
-    known = files.join(names, "series").where("from_seq <= file_seq").groupBy("series", "file_seq").agg(F.max_by("names", "from_seq").alias("names"))
+    known = cut(files.join(names, "series").where("from_seq <= file_seq").groupBy("series", "file_seq").agg(F.max_by("names", "from_seq").alias("names")))
+    called = lambda key: F.coalesce(F.try_element_at("names", key), key)
+    counts = belongs.join(known, ["series", "file_seq"], "left").select(called(F.col("field")).alias("field"), "kind", "n").where("field <> 'image'")
+    kinds = common_kinds([(r["field"], r["kind"], r["n"]) for r in counts.groupBy("field", "kind").agg(F.sum("n").alias("n")).collect()])
     lines = df.select("record_id", "series", F.col("file_seq").cast("int").alias("file_seq"), F.try_parse_json("body").alias("doc"))
     lines = lines.withColumn("doc", F.when(F.schema_of_variant("doc").startswith("OBJECT"), F.col("doc")))
     raw = F.from_json(F.to_json("doc"), "map<string,string>")
-    lines = lines.select("record_id", "series", "file_seq", F.try_variant_get("doc", "$.image", "string").alias("image"), F.map_filter(raw, lambda k, v: k != "image").alias("raw"))
+    nested = F.expr("map_keys(map_filter(cast(doc as map<string,variant>), (k, v) -> schema_of_variant(v) rlike '^(ARRAY|OBJECT)'))")
+    lines = lines.select(
+        "record_id",
+        "series",
+        "file_seq",
+        F.try_variant_get("doc", "$.image", "string").alias("image"),
+        F.map_filter(raw, lambda k, v: k != "image").alias("raw"),
+        nested.alias("nested"),
+    )
     joined = lines.join(known, ["series", "file_seq"], "left")
-    renamed = F.map_from_entries(
-        F.array_sort(
-            F.transform(
-                F.map_entries("raw"),
-                lambda e: F.struct(F.coalesce(F.try_element_at("names", e["key"]), e["key"]).alias("key"), e["value"].alias("value")),
-            )
-        )
+    renamed = F.map_from_entries(F.array_sort(F.transform(F.map_entries("raw"), lambda e: F.struct(called(e["key"]).alias("key"), e["value"].alias("value")))))
+    head = ["record_id", "series", "file_seq", "image", "fields"]
+    joined = joined.select(
+        *head[:-1],
+        F.when(F.col("names").isNull(), F.col("raw")).otherwise(renamed).alias("fields"),
+        F.transform("nested", called).alias("nested"),
     )
-    return joined.select("record_id", "series", "file_seq", "image", F.when(F.col("names").isNull(), F.col("raw")).otherwise(renamed).alias("fields"))
+    typed = [_cast_text(F.try_element_at("fields", F.lit(f)), F.array_contains("nested", f), kind).alias(f"_{k}") for k, (f, kind) in enumerate(kinds.items())]
+    cast = joined.select(*head, *typed)
+    held = F.array_compact(F.array(*[F.when(F.col(f"_{k}").isNotNull(), F.lit(f)) for k, f in enumerate(kinds)])) if kinds else F.array().cast("array<string>")
+    uncast = F.map_filter("fields", lambda k, v: v.isNotNull() & ~F.array_contains("_held", k))
+    columns = [F.col(f"_{k}").alias(name) for k, name in enumerate(column_names(list(kinds), [*head, "uncast"]))]
+    return cast.withColumn("_held", held).select(*head, uncast.alias("uncast"), *columns)

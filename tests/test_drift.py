@@ -70,3 +70,20 @@ def test_unified(spark):
     assert rows[1] == rows[11] == {"width": "1"}
     assert rows[21] == {"width": "1", "flag": "true"}
     assert rows[23] is None
+
+
+def test_unified_casts_to_common_types(spark):
+    a = [{"image": f"i{k}", "width": 512, "gsd": 10, "mask": f"m{k}", "flag": True, "box": [1, 2], "Flag": "x"} for k in range(4)]
+    b = [{"image": f"i{k}", "largura": 512.0, "gsd": "2.5", "mask": f"m{k}", "flag": 0, "box": "none", "fields": 1} for k in range(3)]
+    a[3] |= {"width": "wide", "gsd": 1.5, "mask": ["m3"], "stray": 7}
+    df = spark.createDataFrame(lines("s", 1, a) + lines("s", 2, b, 10) + lines("s", 3, [{"image": "i0", "gsd": 1.25}, "{"], 20), SCHEMA)
+    got = unified_records(df)
+    types = dict(got.dtypes)
+    assert [types[c] for c in ("width", "gsd", "mask", "Flag", "flag_2", "box", "fields_2")] == ["double", "double", "string", "string", "boolean", "array<string>", "bigint"]
+    rows = {r["record_id"]: r.asDict() for r in got.collect()}
+    assert (rows[0]["flag_2"], rows[10]["flag_2"]) == (True, False)
+    assert (rows[0]["width"], rows[0]["gsd"], rows[0]["mask"], rows[0]["box"]) == (512.0, 10.0, "m0", ["1", "2"])
+    assert (rows[10]["width"], rows[10]["gsd"], rows[10]["box"], rows[10]["fields_2"]) == (512.0, 2.5, None, 1)
+    assert rows[10]["uncast"] == {"box": "none"} and rows[0]["uncast"] == {}
+    assert rows[3]["uncast"] == {"width": "wide", "mask": '["m3"]', "stray": "7"}
+    assert rows[21]["uncast"] is None and rows[21]["width"] is None
