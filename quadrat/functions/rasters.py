@@ -237,3 +237,13 @@ def crossfield_from_angle(angle: Column) -> Column:
     u = cx(F.cos(angle), F.sin(angle))
     v = cx(F.cos(angle + math.pi / 2), F.sin(angle + math.pi / 2))
     return crossfield_coefficients(u, v)
+
+
+def frame_field(pixels: Column, height: int, width: int) -> Column:
+    """Real and imaginary parts of c0 and of c2, one raster each: directions along and across the gradient, 0 where there is none."""
+    slopes = let(gradient(pixels, height, width), lambda g: F.arrays_zip(g["gx"].alias("gx"), g["gy"].alias("gy")))
+    none = cx(F.lit(0.0), F.lit(0.0))
+    flat = F.struct(none.alias("c0"), none.alias("c2"))
+    field = F.transform(slopes, lambda s: F.when((s["gx"] == 0) & (s["gy"] == 0), flat).otherwise(crossfield_from_angle(F.atan2(s["gy"], s["gx"]))))
+    part = lambda f, k, p: F.transform(f, lambda c: c[k][p])
+    return let(field, lambda f: F.concat(*[part(f, k, p) for k in ("c0", "c2") for p in ("re", "im")]))

@@ -138,8 +138,9 @@ def simple_polygonize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outlines of the rasters above 0, fitted in fifty steps."""
-    p = active.active_contours(rasters(spark, sf_dir), 8, 8, level=0.0, tolerance=0.5, min_area=1.0, min_probability=0.0, steps=50)
+    """Outlines of the rasters above 0, fitted to them and to the frame field of their gradients."""
+    framed = rasters(spark, sf_dir).withColumn("field", r.frame_field(F.col("pixels"), 8, 8))
+    p = active.active_contours(framed, 8, 8, level=0.0, tolerance=0.5, min_area=1.0, min_probability=0.0)
     return p.select("image", "poly", F.round("area", 4).alias("area"), F.size("ring").alias("n_vertices"), "error")
 
 

@@ -95,3 +95,29 @@ def test_small_functions(spark):
 def test_hashes(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
     assert images.file_hashes(spark, str(tmp_path)).first()["sha1"] == hashlib.sha1(b"abc").hexdigest()
+
+
+def test_outlines_descend_together_as_alone():
+    rng = np.random.default_rng(3)
+    pixels = rng.normal(size=(5, 8, 8))
+    fields = np.exp(1j * rng.normal(size=(5, 2, 8, 8)))
+    lines = [(k, line[:-1]) for k in range(5) for line in kernels._closed_contours(pixels[k], 0.0)]
+    moved = active.descend_all([line for _, line in lines], [k for k, _ in lines], pixels, fields, 0.0, 40)
+    for (k, line), ring in zip(lines, moved):
+        assert np.allclose(ring, active.descend(line, pixels[k], fields[k], 0.0, 40))
+
+
+def test_contour_query_runs_all_steps_with_a_frame_field(spark, monkeypatch):
+    from quadrat.plans import pixels
+
+    ramp = [float(c + 2 * q) - 10.5 for q in range(8) for c in range(8)]
+    source = spark.createDataFrame([(1, 0, ramp)], "image bigint, label int, pixels array<double>")
+    monkeypatch.setattr(pixels, "rasters", lambda *_: source)
+    given = []
+    whole = active.active_contours
+    monkeypatch.setattr(active, "active_contours", lambda df, *a, **k: given.append((df, k)) or whole(df, *a, **k))
+    assert all(x["error"] is None for x in pixels.active_contours(spark, "").collect())
+    assert given[0][1].get("steps", 500) == 500
+    field = np.array(given[0][0].first()["field"]).reshape(4, 8, 8)[:, 3, 3]
+    assert field[0] + 1j * field[1] == pytest.approx(-np.exp(4j * np.arctan2(2, 1)))
+    assert np.abs(field[2:]).max() < 1e-9
