@@ -41,6 +41,8 @@ BEAM = 4
 #: Share of a term's documents that must deal with a subject for the term to speak for it, first by labels, then by content.
 PURE_LABELLED = 0.35
 PURE = 0.5
+#: Greatest probability with which a term's share may have come about by chance.
+CHANCE = 0.05
 
 #: Frequent words that tell the languages apart (fixed values).
 STOP_WORDS = [
@@ -142,6 +144,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
+def speaks(holding: np.ndarray, spread: np.ndarray, base: np.ndarray, least: float) -> np.ndarray:
+    """Whether a term speaks for a subject (term, subject), by one rule for samples of any size.
+
+    Of the ``spread`` documents that hold the term, ``holding`` deal with the subject.  That must be a
+    share of at least ``least``, and no chance: at the subject's rate ``base`` among all documents, so
+    many would do so with a probability of at most ``CHANCE`` (by Chernoff's bound, exact if all do).
+    """
+    n = np.maximum(1, spread)[:, None]
+    share, base = np.clip(holding / n, 0, 1), np.clip(base, 1e-6, 1 - 1e-6)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(share > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0)
+    return (share >= least) & (share > base) & (n * gain >= -np.log(CHANCE))
+
+
 def fit(texts: list[list[list[str]]], labels: list[list[tuple[str, str]]], sources: list[str | None], subjects: list[str], rounds: int = 10) -> SubjectModel:
     """The model from labelled documents: sentences, (subject, rater) pairs and source of each."""
     k, docs = len(subjects), len(texts)
@@ -162,8 +178,7 @@ def fit(texts: list[list[list[str]]], labels: list[list[tuple[str, str]]], sourc
     term = language[sent] * size + token
     seen_in, seen = np.unique(np.stack([doc[sent], term]), axis=1)
     spread = np.bincount(seen, minlength=_LANGUAGES * size)
-    often = spread >= (3 if docs >= 400 else 2)
-    doubt = min(6.0, max(1.0, docs / 600))  # so many average documents are added to a term's own: chance pairs grow with the sample
+    often = spread >= 2
     raters = sorted({r for row in labels for _, r in row})
     trust = dict.fromkeys(raters, 0.7)
 
@@ -201,8 +216,7 @@ def fit(texts: list[list[list[str]]], labels: list[list[tuple[str, str]]], sourc
         # in documents of every kind (headings, signatures, standing phrases) says nothing at all.
         base = member.mean(0)
         pure = np.stack([np.bincount(seen, weights=member[seen_in, c], minlength=_LANGUAGES * size) for c in range(k)], 1)
-        pure = (pure + doubt * base) / (spread[:, None] + doubt)
-        own = pure >= (PURE_LABELLED if step == 0 else PURE)
+        own = speaks(pure, spread, base, PURE_LABELLED if step == 0 else PURE)
         weight = np.where(np.column_stack([own, np.zeros(len(own), bool)]), weight, np.minimum(weight, 0))
         weight[~own.any(1)] = 0
         score = np.stack([np.bincount(sent, weights=weight[term, c], minlength=n) for c in range(k + 1)], 1) + np.log(calm(prior)[doc])

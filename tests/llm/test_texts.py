@@ -175,3 +175,24 @@ def test_subjects(spark, monkeypatch):
     assert 900 not in got and 901 not in got and got.get(902) == truth[0]
     assert document_subjects(d, lab.limit(0), sub).count() == document_subjects(d.limit(0), lab, sub).count() == 0
     assert subject_module.SAMPLE >= 1000
+
+
+@pytest.mark.parametrize("docs", [300, 600, 3600])
+def test_rare_pure_terms_speak_in_samples_of_any_size(docs):
+    rng = random.Random(docs)
+    names = [f"s{k}" for k in range(10)]
+    texts, labels = [], []
+    for d in range(docs):
+        k = d % 10
+        texts.append([[f"core{k}x{rng.randrange(6)}", f"core{k}y{rng.randrange(6)}", f"any{rng.randrange(40)}"] for _ in range(4)])
+        texts[-1].append(["rare", f"any{rng.randrange(40)}", f"any{rng.randrange(40)}"] if k == 0 and d < 40 else [f"any{rng.randrange(40)}" for _ in range(3)])
+        labels.append([(names[k], "r")])
+    model = subject_module.fit(texts, labels, [None] * docs, names)
+    assert "rare" in model.words
+    assert model.weights[:, model.words["rare"], 0].max() > 0.3
+
+
+def test_chance_pairs_do_not_speak():
+    held, spread, base = np.array([[1.0], [2.0], [2.0], [4.0], [5.0]]), np.array([1, 2, 2, 4, 10]), np.array([0.3])
+    assert subject_module.speaks(held, spread, base, 0.5)[:, 0].tolist() == [False, False, False, True, False]
+    assert subject_module.speaks(held, spread, np.array([0.1]), 0.5)[:, 0].tolist() == [False, True, True, True, True]
