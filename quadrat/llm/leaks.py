@@ -43,6 +43,8 @@ STRETCH = 20
 EDITED = 10  # one word in so many
 KEPT = STRETCH - SHINGLE + 1 - SHINGLE * (STRETCH // EDITED)
 BLOCK = 500_000
+#: Words of a region whose table is held at once, or four times the longest stretch if that is more.
+WINDOW = 4096
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,19 +93,24 @@ def holds(passage: np.ndarray, region: np.ndarray) -> bool:
 
     A stretch begins and ends with words that are there.  ``near[s, d]`` is the least number of
     edits between the passage from s on and some run of the region that ends before d; one row of
-    words is added per step, for all s at once.
+    words is added per step, for all s at once.  A long region is read in windows that overlap by the
+    longest stretch, so that the table is bounded and each stretch lies in one of them.
     """
     starts = len(passage) - STRETCH + 1
     if starts <= 0:
         return False
-    ramp = np.arange(len(region) + 1, dtype=np.int16)
-    near = np.zeros((starts, len(region) + 1), np.int16)
+    longest = len(passage) + len(passage) // EDITED  # words of the region that a stretch covers, at most
+    window = max(WINDOW, 4 * longest)
+    if len(region) > window:
+        return any(holds(passage, region[a : a + window]) for a in range(0, len(region) - longest, window - longest))
+    ramp = np.arange(len(region) + 1, dtype=np.int32)
+    near = np.zeros((starts, len(region) + 1), np.int32)
     for k in range(len(passage)):
         alive = min(starts, len(passage) - k)
         same = passage[k : k + alive, None] == region[None, :]
         along = near[:alive, :-1] + ~same
         if k == 0:
-            moved = np.full(near.shape, len(passage), np.int16)
+            moved = np.full(near.shape, len(passage), np.int32)
             moved[:, 1:][same] = 0
         else:
             moved = near[:alive] + 1

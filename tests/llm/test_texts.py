@@ -196,3 +196,25 @@ def test_chance_pairs_do_not_speak():
     held, spread, base = np.array([[1.0], [2.0], [2.0], [4.0], [5.0]]), np.array([1, 2, 2, 4, 10]), np.array([0.3])
     assert subject_module.speaks(held, spread, base, 0.5)[:, 0].tolist() == [False, False, False, True, False]
     assert subject_module.speaks(held, spread, np.array([0.1]), 0.5)[:, 0].tolist() == [False, True, True, True, True]
+
+
+@pytest.mark.parametrize("at", [0, 4060, 4090, 8170, 33_000, 36_000, 39_960])
+def test_holds_in_regions_of_any_length(at):
+    rng = random.Random(at)
+    passage = np.array([rng.randrange(5000) for _ in range(40)])
+    region = np.full(40_000, -1)
+    assert not holds(passage, region)
+    stretch = [*passage[:15], -1, -1, *passage[15:25], *passage[26:]]  # three edits
+    region[at : at + 40] = stretch[:40]
+    assert holds(passage, region)
+    region[at + 2 : at + 40 : 4] = -1
+    assert not holds(passage, region)
+
+
+def test_leak_behind_many_repeats_of_a_run(spark):
+    rng = random.Random(5)
+    item = text_of(rng, 40)
+    text = [w for _ in range(1200) for w in [*item[8:13], *text_of(rng, 25)]] + item
+    assert len(text) > 32_768
+    got = leaked_items(spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, passage string"))
+    assert [tuple(r) for r in got.collect()] == [(1, 7)]
