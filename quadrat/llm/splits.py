@@ -3,8 +3,8 @@
 Records of a sheet form a block; a record of several sheets binds them.  Blocks of a component
 form a group.  Which groups go to which split is a subset-sum problem over the multiset of group
 sizes: for each split but the largest, a bitset over reachable totals (one shift per power of two
-of each size's multiplicity) gives the total closest to the wanted one, and walking the bitsets
-back tells how many groups of each size to take.  Only the histogram of sizes reaches the driver,
+of each size's multiplicity) gives the total closest to the wanted one, exactly and at any size,
+and walking back tells how many groups of each size to take.  Only the histogram of sizes reaches the driver,
 which has at most sqrt(2 n) entries for n records.
 
 Cases and their result
@@ -26,10 +26,6 @@ from quadrat.llm.components import components
 from quadrat.llm.tiles import located
 from quadrat.session import cut, small
 
-#: Sizes are counted in units so that a bitset has at most this many bits.
-MOST_BITS = 1 << 23
-
-
 def grouped(rows: DataFrame, tile_list: DataFrame) -> DataFrame:
     """``rows`` (with ``path``) plus ``group_id``, the smallest sheet bound to the row's sheets."""
     tiles = located(rows, tile_list)
@@ -44,33 +40,49 @@ def grouped(rows: DataFrame, tile_list: DataFrame) -> DataFrame:
 def closest_subset(sizes: dict[int, int], target: float) -> dict[int, int]:
     """How many of each size to take so that the total is closest to ``target``.
 
-    ``sizes`` maps a size to its multiplicity.
+    ``sizes`` maps a size to its multiplicity.  Totals are exact for any number of records: the
+    bitsets on the way aren't kept, but made again from the middle one of each half, so that only
+    as many as the logarithm of the number of steps are held at once.
     """
-    unit = max(1, -(-int(2 * target + 1) // MOST_BITS))
-    limit = int(2 * target) // unit + 1  # nothing above twice the target is closer than taking none
+    limit = int(2 * target) + 1  # nothing above twice the target is closer than taking none
     keep = (1 << (limit + 1)) - 1
-    steps: list[tuple[int, int, int]] = []  # size, how many at once, reachable totals before
-    bits = 1
+    steps: list[tuple[int, int]] = []  # size, how many at once
     for size, many in sorted(sizes.items(), reverse=True):
-        scaled, power = max(1, round(size / unit)), 1
-        while many > 0 and scaled <= limit:
+        power = 1
+        while many > 0 and size <= limit:
             take = min(power, many)
-            steps.append((size, take, bits))
-            bits = (bits | bits << (scaled * take)) & keep
+            steps.append((size, take))
             many -= take
             power *= 2
-    goal = target / unit
-    low = bits & ((1 << (int(goal) + 1)) - 1)
+
+    def after(bits: int, first: int, last: int) -> int:
+        for size, take in steps[first:last]:
+            if size * take <= limit:
+                bits = (bits | bits << (size * take)) & keep
+        return bits
+
+    bits = after(1, 0, len(steps))
+    low = bits & ((1 << (int(target) + 1)) - 1)
     best = low.bit_length() - 1
-    high = bits >> (int(goal) + 1)
+    high = bits >> (int(target) + 1)
     if high:
-        above = int(goal) + 1 + ((high & -high).bit_length() - 1)
-        best = above if above - goal < goal - best else best
+        above = int(target) + 1 + ((high & -high).bit_length() - 1)
+        best = above if above - target < target - best else best
+    del bits, low, high
     taken: dict[int, int] = {}
-    for size, take, before in reversed(steps):
-        if not before >> best & 1:
-            taken[size] = taken.get(size, 0) + take
-            best -= max(1, round(size / unit)) * take
+
+    def walk(before: int, first: int, last: int, total: int) -> int:
+        """Take what steps ``first`` to ``last`` add to reach ``total``, and return what is left of it."""
+        if first == last or before >> total & 1:
+            return total
+        if last - first > 1:
+            middle = (first + last) // 2
+            return walk(before, first, middle, walk(after(before, first, middle), middle, last, total))
+        size, take = steps[first]
+        taken[size] = taken.get(size, 0) + take
+        return total - size * take
+
+    walk(1, 0, len(steps), best)
     return taken
 
 

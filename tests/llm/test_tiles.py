@@ -134,3 +134,17 @@ def test_hot_tile(spark):
     right = spark.range(20).select((F.col("id") % 3).alias("k"), F.col("id").alias("r"))
     plain, salted = left.join(right, "k"), salted_join(left, right, ["k"], per_slice=100)
     assert salted.count() == plain.count() == salted.select("l", "r").distinct().count()
+
+
+@pytest.mark.parametrize("rows", [50_000_000, 220_000_000])
+def test_totals_are_exact_for_many_rows(rows):
+    plan = plan_splits({1: rows}, [("train", 0.8), ("val", 0.1), ("test", 0.1)])
+    assert {s: sum(size * (b - a + 1) for size, x, a, b in plan if x == s) for s in ("val", "test")} == {"val": rows // 10, "test": rows // 10}
+
+
+def test_totals_are_exact_for_mixed_sizes():
+    sizes = {1: 3, 7: 2_000_000, 640: 40_000, 99_991: 12}
+    target = 0.1 * sum(s * n for s, n in sizes.items())
+    taken = closest_subset(sizes, target)
+    assert all(n <= sizes[s] for s, n in taken.items())
+    assert abs(sum(s * n for s, n in taken.items()) - target) <= 0.5
