@@ -6,7 +6,9 @@ import html
 import re
 import unicodedata
 
-_TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,300}>")
+#: Rest of a tag: up to 300 characters of any kind, else attributes of any length (so that a stray ``<`` takes no long text away).
+_REST = r"""(?:[^<>]{0,300}>|(?>[\w:-]*(?:\s+[\w:.@-]+(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))?)*+)\s*/?>)"""
+_TAG = re.compile(r"<!--[^<>]*-->|</?[a-zA-Z!]" + _REST)
 #: A hyphen between letters, also at the end of a line whose successor may be quoted.
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑](?:[ \t]*\r?\n[ \t]*(?:>[ \t]*)*)?(?=[^\W\d_])")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -33,7 +35,7 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(fold(text)) if text else []
 
 
-_BLOCK_TAG = re.compile(r"</?(?:p|li|ul|ol|h[1-6]|div|br|tr|td|th|table|pre|blockquote|body|html|title)\b[^<>]{0,300}>", re.IGNORECASE)
+_BLOCK_TAG = re.compile(r"</?(?:p|li|ul|ol|h[1-6]|div|br|tr|td|th|table|pre|blockquote|body|html|title)\b" + _REST, re.IGNORECASE)
 _END = re.compile(r"[.!?]+(?=\s|$)|\n\s*\n|\n(?=\s*(?:[-*#|\[=]|\d+[.)]))")
 
 

@@ -218,3 +218,13 @@ def test_leak_behind_many_repeats_of_a_run(spark):
     assert len(text) > 32_768
     got = leaked_items(spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, passage string"))
     assert [tuple(r) for r in got.collect()] == [(1, 7)]
+
+
+def test_tags_of_any_length():
+    link = "<a class=x href='http://a.b/?" + "q=word&" * 200 + "' hidden>"
+    style = '<p style="' + "color: red; " * 100 + '" id=long data-uri = "data:;' + "A" * 50_000 + '"/>'
+    assert words(f"one {link}two</a> {style} three <!-- {'not a word ' * 100}--> four") == ["one", "two", "three", "four"]
+    assert sentences(f"One two three {style} four five six") == [["one", "two", "three"], ["four", "five", "six"]]
+    prose = "if a <b, then " + "so it goes. " * 100
+    assert len(words(prose + "> end")) == 5 + 300
+    assert len(words("<a " * 20_000 + "<a x=" * 20_000 + "<a " + "x " * 100_000)) > 100_000
