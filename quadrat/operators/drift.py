@@ -3,7 +3,7 @@
 Every line is parsed as a variant in the JVM and exploded to (field, type, value).  Fields and
 types of a file are pre-aggregated counts.  Between a file and its predecessor, the fields that
 went and the fields that came are matched by similarity flooding: both files are graphs of
-fields, types, name parts and nested members; the first scores are the agreement of values over
+top-level fields, types and name parts; the first scores are the agreement of values over
 the images that both files list, and similarity of names and types; scores flow along equally
 labelled edges until they settle; the best mutual pairs whose values agree are renames.  What is
 left came or went; fields that stay are compared by type.
