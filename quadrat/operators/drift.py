@@ -149,7 +149,7 @@ def _changes(cells: DataFrame, fields: DataFrame) -> DataFrame:
     moving = gone.select("series", F.col("prev_seq").alias("at_seq"), "file_seq", F.col("old_field").alias("field"), F.lit(True).alias("old"))
     moving = cut(moving.unionByName(came.select("series", F.col("file_seq").alias("at_seq"), "file_seq", F.col("new_field").alias("field"), F.lit(False).alias("old"))))
     held = cells.where("kind is not null and image is not null").select("series", F.col("file_seq").alias("at_seq"), "field", "image", "value")
-    held = held.join(small(moving, moving.count()), ["series", "at_seq", "field"])  # only values of fields that come or go
+    held = held.join(small(moving), ["series", "at_seq", "field"])  # only values of fields that come or go
     values = held.groupBy("series", "file_seq", "image", "old", "field").agg(F.min(plain).alias("v"))
     a = values.where("old").select("series", "file_seq", "image", F.col("field").alias("old_field"), F.col("v").alias("old_v"))
     b = values.where("not old").select("series", "file_seq", "image", F.col("field").alias("new_field"), F.col("v").alias("new_v"))

@@ -67,7 +67,7 @@ def numbered(rows: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
     parts = parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id") - F.shiftleft("_part", 33))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return parts.join(small(before, parts.rdd.getNumPartitions()), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_id", "_part", "_in", "_before")
+    return parts.join(small(before), "_part").withColumn(name, F.col("_in") + F.col("_before")).drop("_id", "_part", "_in", "_before")
 
 
 def cycle_zip(longer: DataFrame, shorter: DataFrame, pos: str = "pos") -> DataFrame:

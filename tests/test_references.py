@@ -47,3 +47,27 @@ def test_empty_and_counts(spark):
     assert orphans(spark, [], []).count() == 0
     got = orphans_by_period(orphans(spark, [(1, 0, "x", "y"), (1, 0, "x", None)], []))
     assert sorted((r["ref_field"], r["period"], r["reason"], r["n"]) for r in got.collect()) == [("image", "2024-01", "missing", 2), ("mask", "2024-01", "missing", 1)]
+
+
+def test_hot_key_is_cut_without_loss(spark, monkeypatch):
+    """A key that holds most references, many of one moment, is spread over many partitions."""
+    from quadrat.operators import references
+
+    monkeypatch.setattr(references, "PER_PARTITION", 40)
+    refs = [(i, 7 if i % 2 else i % 24, "hot" if i % 5 else f"p{i % 3}", None) for i in range(600)]
+    files = [("hot", 3, 5), ("hot", 4, 9), ("hot", 20, 21), ("p1", 0, 2), ("p1", 30, None)]
+    expected = []
+    for i, t, path, _ in refs:
+        own = [(s, d) for p, s, d in files if p == path]
+        if not any(s <= t and not (d is not None and d <= t) for s, d in own):
+            expected.append((i, "missing" if not own else "late" if any(s > t for s, _ in own) else "deleted"))
+    rows = orphans(spark, refs, files)
+    assert sorted((r["row_id"], r["reason"]) for r in rows.collect()) == sorted(expected)
+
+
+def test_times_without_zone(spark):
+    a = spark.sql("SELECT 1L AS row_id, TIMESTAMP_NTZ'2024-03-31 02:30:00' AS listed, 'x' AS image")
+    b = spark.sql("SELECT 'x' AS path, TIMESTAMP_NTZ'2024-03-31 02:30:00.000001' AS stored, CAST(NULL AS TIMESTAMP_NTZ) AS deleted")
+    got = orphan_references(a, "row_id", ["image"], "listed", b, "path", "stored", "deleted")
+    assert [(r["reason"], r["at"].isoformat()) for r in got.collect()] == [("late", "2024-03-31T02:30:00")]
+    assert orphans_by_period(got).first()["period"] == "2024-03"
