@@ -99,3 +99,9 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], per_slice: i
 
     both = ["_of_left_slice", "_of_right_slice"]
     return sliced(left, "_of_left", "_of_right").join(sliced(right, "_of_right", "_of_left"), [*keys, *both]).drop(*both)
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a broadcast of ``right`` if it is small, else with hot keys spread."""
+    hinted = small(right)
+    return left.join(hinted, keys) if hinted is not right else salted_join(left, right, keys)
