@@ -4,10 +4,10 @@ import numpy as np
 import pytest
 
 from quadrat.llm import subjects as subject_module
-from quadrat.llm.leaks import KEPT, STRETCH, Passages, holds, leaked_items
+from quadrat.llm.leaks import KEPT, SHINGLE, STRETCH, holds, leaked_items, prefix_keys, shingle_keys
 from quadrat.llm.packing import Packer, fill_report, pack_documents, pieces
 from quadrat.llm.subjects import document_subjects
-from quadrat.llm.text import sentences, words
+from quadrat.llm.text import sentences, word_hashes, words
 
 
 def test_words():
@@ -82,17 +82,54 @@ def test_leaks(spark):
 
 
 def test_prefix_loses_nothing():
-    """A window with the allowed edits keeps a shingle of the prefix, whatever the frequencies."""
+    """A window with the allowed edits keeps a shingle of the prefix, whatever the frequencies and repeats."""
     rng = random.Random(4)
-    for _ in range(50):
-        passage = text_of(rng, 40)
-        block = Passages([passage])
-        prefix = block.prefixes(np.array([rng.randrange(5) for _ in block.seeds]))
+    for _ in range(200):
+        passage = np.array([rng.randrange(rng.choice([3, 6, 1000])) for _ in range(40)], np.uint64)
+        keys = shingle_keys(passage)
+        common = {int(k): rng.randrange(5) for k in keys}
+        prefix = set(prefix_keys(keys, np.array([common[int(k)] for k in keys])).tolist())
         start = rng.randrange(20)
-        kept = set(block.at[0][start : start + STRETCH - 4].tolist())
-        for at in rng.sample(range(STRETCH), 2):
-            kept -= {int(s) for k, s in enumerate(block.at[0][start : start + STRETCH - 4]) if k <= at < k + 5}
-        assert len(kept) >= KEPT and kept & set(prefix)
+        places = set(range(start, start + STRETCH - SHINGLE + 1))
+        for at in rng.sample(range(start, start + STRETCH), 2):
+            places -= set(range(at - SHINGLE + 1, at + 1))
+        assert len(places) >= KEPT and {int(keys[p]) for p in places} & prefix
+
+
+def test_stretches_that_repeat_their_words(spark):
+    """A stretch may hold fewer distinct shingles than it must keep."""
+    rng = random.Random(9)
+    item = [*"abcde" * 4, *text_of(rng, 40)]
+    texts = [text_of(rng, 30) + item[:20] + text_of(rng, 30), text_of(rng, 30) + item[:19] + text_of(rng, 30), item[:5] + ["x"] + item[:20]]
+    got = leaked_items(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, passage string"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 7), (2, 7)]
+
+
+def test_leaks_of_many_items_without_broadcasts(spark, monkeypatch):
+    """Joins by key instead of broadcasts, and a bitmap that is much too small, give the same rows."""
+    from quadrat import session
+    from quadrat.llm import leaks
+
+    rng = random.Random(10)
+    passages = [text_of(rng, 30) for _ in range(300)]
+    docs = [(k, " ".join(text_of(rng, 50) + passages[k % 300][2:28] + (passages[7] if k % 3 == 0 else []))) for k in range(200)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passages)], "item_id long, passage string")
+    wanted = sorted({(k, k) for k in range(200)} | {(k, 7) for k in range(0, 200, 3)})
+    assert sorted(tuple(r) for r in leaked_items(d, i).collect()) == wanted
+    monkeypatch.setattr(session, "small", lambda df: df)
+    monkeypatch.setattr(leaks, "BITS", 1 << 16)
+    assert sorted(tuple(r) for r in leaked_items(d, i).collect()) == wanted
+
+
+def test_word_hashes():
+    rng = random.Random(11)
+    texts = ["One, two; three", None, "", "<p>", "ONE two-\nthree twothree", " ".join(text_of(rng, 400_000)), "a" * 3_000_000 + " one"]
+    hashes, ends = word_hashes(texts)
+    parts = np.split(hashes, ends[:-1])
+    assert [len(p) for p in parts] == [len(words(t)) for t in texts]
+    assert parts[0][0] == parts[4][0] == parts[6][1] and parts[4][1] == parts[4][2] != parts[0][1]
+    assert len(np.unique(parts[5])) == len(set(words(texts[5])))
+    assert [len(x) for x in word_hashes([])] == [0, 0]
 
 
 def test_pieces():
