@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.tiles import located
-from quadrat.session import salted_join
+from quadrat.session import cut, salted_join
 
 #: Spellings of the splits after trimming and lower case.
 TRAIN = ["train", "training", "treino", "treinamento"]
@@ -31,21 +31,35 @@ def split_of(text: Column) -> Column:
     return F.when(plain.isin(TRAIN), "train").when(plain.isin(VAL), "val").when(plain.isin(TEST), "test")
 
 
+def _named(rows: DataFrame, tile_list: DataFrame) -> DataFrame:
+    """``rec_id, split, producer, name`` of the rows with a split whose name tells a tile."""
+    sided = rows.select("rec_id", split_of(F.col("split")).alias("split"), "producer", "path").where("split is not null")
+    tiles = located(sided, tile_list).where("size(sheets) > 0 and number is not null")
+    name = F.concat(F.array_join("sheets", "+"), F.lit("#"), F.col("number").cast("string"))
+    return tiles.select("rec_id", "split", "producer", name.alias("name"))
+
+
 def cross_split_pairs(rows: DataFrame, tile_list: DataFrame) -> DataFrame:
     """Evaluation and training rows that show the same tile.
 
     ``rows`` has ``rec_id, split, producer, path``.  Columns: ``eval_id, eval_split, eval_producer,
     train_id, train_producer``.
     """
-    sided = rows.select("rec_id", split_of(F.col("split")).alias("split"), "producer", "path").where("split is not null")
-    tiles = located(sided, tile_list).where("size(sheets) > 0 and number is not null")
-    name = F.concat(F.array_join("sheets", "+"), F.lit("#"), F.col("number").cast("string"))
-    named = tiles.select("rec_id", "split", "producer", name.alias("name")).withColumn("hash", F.xxhash64("name"))
+    named = _named(rows, tile_list).withColumn("hash", F.xxhash64("name"))
     train = named.where("split = 'train'").select("hash", F.col("name").alias("train_name"), F.col("rec_id").alias("train_id"), F.col("producer").alias("train_producer"))
     held = named.where("split <> 'train'").select("hash", F.col("name").alias("eval_name"), F.col("rec_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("producer").alias("eval_producer"))
     return salted_join(train, held, ["hash"]).where("train_name = eval_name").select("eval_id", "eval_split", "eval_producer", "train_id", "train_producer")
 
 
-def overlap_report(pairs: DataFrame) -> DataFrame:
-    """Overlapping evaluation rows and pairs per split and producer of the evaluation row."""
-    return pairs.groupBy("eval_split", "eval_producer").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_rows"))
+def overlap_report(rows: DataFrame, tile_list: DataFrame) -> DataFrame:
+    """Overlaps counted per split and both producers, without listing the pairs.
+
+    ``eval_split, eval_producer, train_producer, n_pairs, n_rows``; ``n_rows`` are the evaluation
+    rows with a partner of that training producer.  Rows are counted by tile, split and producer first
+    (partial sums on the map side, so that a hot tile costs a few rows), and the counts are joined.
+    """
+    counts = cut(_named(rows, tile_list).groupBy("name", "split", "producer").agg(F.count("*").alias("n")))
+    train = counts.where("split = 'train'").select("name", F.col("producer").alias("train_producer"), F.col("n").alias("n_train"))
+    held = counts.where("split <> 'train'").select("name", F.col("split").alias("eval_split"), F.col("producer").alias("eval_producer"), "n")
+    both = salted_join(train, held, ["name"])
+    return both.groupBy("eval_split", "eval_producer", "train_producer").agg(F.sum(F.col("n") * F.col("n_train")).alias("n_pairs"), F.sum("n").alias("n_rows"))

@@ -36,8 +36,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cross-split overlaps counted per split and producer."""
-    return overlap_report(cross_split_pairs(_listed(spark, sf_dir), table(spark, sf_dir, "selected_tiles")))
+    """Cross-split overlaps counted per split and both producers."""
+    return overlap_report(_listed(spark, sf_dir), table(spark, sf_dir, "selected_tiles"))
 
 
 def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def grouped(rows: DataFrame, tile_list: DataFrame) -> DataFrame:
     bound = tiles.where("size(sheets) > 1").select(F.explode(F.transform("sheets", lambda s: F.struct(F.col("sheets")[0].alias("a"), s.alias("b")))).alias("e")).select("e.*")
     roots = components(bound)
     plain = tiles.withColumn("node", F.get("sheets", F.lit(0)))
-    joined = plain.join(small(roots, roots.count()), "node", "left")
+    joined = plain.join(small(roots), "node", "left")
     return joined.select(*columns, F.coalesce("root", "node").alias("group_id"))
 
 
@@ -125,5 +125,5 @@ def assign_splits(records: DataFrame, plan: DataFrame) -> DataFrame:
     for split, portion in portions:
         edge += portion
         alone = F.when((draw < edge) & (draw >= edge - portion), split).otherwise(alone)
-    with_group = records.where("group_id is not null").join(small(chosen, sum(sizes.values())), "group_id").select(*records.columns, "split")
+    with_group = records.where("group_id is not null").join(small(chosen), "group_id").select(*records.columns, "split")
     return with_group.unionByName(records.where("group_id is null").withColumn("split", alone))

@@ -79,7 +79,7 @@ def located(rows: DataFrame, tile_list: DataFrame) -> DataFrame:
     labels = tile_list.select(image_key(F.col("image_path")).alias("key"), tile_of(F.col("image_path")).alias("own"), tile_of(F.col("label_path")).alias("label"))
     labels = cut(labels.where("size(own.sheets) < 1 and size(label.sheets) > 0").groupBy("key").agg(F.min("label").alias("label")))
     known = told.where("key is null").select("*", F.lit(None).cast("struct<sheets:array<string>,number:bigint>").alias("label"))
-    asked = told.where("key is not null").join(small(labels, labels.count()), "key", "left")
+    asked = told.where("key is not null").join(small(labels), "key", "left")
     both = known.unionByName(asked)
     tile = F.when(F.col("key").isNull(), F.col("tile")).otherwise(F.col("label"))
     return both.withColumn("tile", tile).select(*[c for c in told.columns if c not in ("tile", "key")], F.coalesce("tile.sheets", F.array().cast("array<string>")).alias("sheets"), F.col("tile.number").alias("number"))

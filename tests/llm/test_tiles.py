@@ -121,9 +121,12 @@ def test_overlaps(spark):
     a, b = "images/MI-2398-2-NE/T176.tif", "images\\Ortoimagem%20MI%202398-2-NE\\recorte%20176_rot90.png"
     rows = [(1, "train", "p", a), (2, "Val", "q", b), (3, "test", None, b), (4, None, "p", a), (5, "treino", "r", b), (6, "val", "q", "images/MI-2398-2-NE/T177.tif"), (7, "val", "q", "images/lote_1/img_0a.tif"), (8, "val", "q", None)]
     lists = tile_list(spark, [("images/lote_1/img_0a.tif", "labels/176__2398-2-ne.tif")])
-    pairs = cross_split_pairs(spark.createDataFrame(rows, "rec_id bigint, split string, producer string, path string"), lists)
+    df = spark.createDataFrame(rows, "rec_id bigint, split string, producer string, path string")
+    pairs = cross_split_pairs(df, lists)
     assert sorted((r["eval_id"], r["train_id"]) for r in pairs.collect()) == [(2, 1), (2, 5), (3, 1), (3, 5), (7, 1), (7, 5)]
-    assert {(r["eval_split"], r["eval_producer"]): (r["n_pairs"], r["n_rows"]) for r in overlap_report(pairs).collect()} == {("val", "q"): (4, 2), ("test", None): (2, 1)}
+    report = {tuple(r)[:3]: tuple(r)[3:] for r in overlap_report(df, lists).collect()}
+    assert report == {("val", "q", "p"): (2, 2), ("val", "q", "r"): (2, 2), ("test", None, "p"): (1, 1), ("test", None, "r"): (1, 1)}
+    assert overlap_report(df.limit(0), lists).count() == 0
 
 
 def test_hot_tile(spark):
@@ -131,9 +134,10 @@ def test_hot_tile(spark):
     from quadrat.session import salted_join
 
     left = spark.range(5000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id") % 7).alias("k"), F.col("id").alias("l"))
-    right = spark.range(20).select((F.col("id") % 3).alias("k"), F.col("id").alias("r"))
-    plain, salted = left.join(right, "k"), salted_join(left, right, ["k"], per_slice=100)
-    assert salted.count() == plain.count() == salted.select("l", "r").distinct().count()
+    for n in (20, 700):
+        right = spark.range(n).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 3).alias("k"), F.col("id").alias("r"))
+        plain, salted = left.join(right, "k"), salted_join(left, right, ["k"], per_slice=100)
+        assert salted.count() == plain.count() == salted.select("l", "r").distinct().count()
 
 
 @pytest.mark.parametrize("rows", [50_000_000, 220_000_000])
