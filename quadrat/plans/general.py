@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrat.operators.drift import schema_changes, unified_records
-from quadrat.operators.nested import flatten_annotations, node_table
+from quadrat.operators.nested import KINDS, flatten_annotations, node_table
 from quadrat.operators.packed import explode_packed
 from quadrat.operators.references import orphan_references, orphans_by_period
 from quadrat.session import table
@@ -27,12 +27,16 @@ def p1_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes of the annotation bodies with their parents."""
-    return flatten_annotations(table(spark, sf_dir, "annotation_files")).select("file_id", "node_kind", "node_path", "parent_path")
+    return flatten_annotations(table(spark, sf_dir, "annotation_files"), payloads=False).select("file_id", "node_kind", "node_path", "parent_path")
 
 
-def p4_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The typed annotation table."""
-    return node_table(flatten_annotations(table(spark, sf_dir, "annotation_files")), "annotation")
+def _typed(kind: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return node_table(flatten_annotations(table(spark, sf_dir, "annotation_files")), kind)
+
+    query.__name__ = {"category": "p4_categories", "box": "p4_boxes"}.get(kind, f"p4_{kind}s")
+    query.__doc__ = f"The typed table of the kind {kind}."
+    return query
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +63,7 @@ def p6_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans_by_period(_orphans(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_bands, p4_found, p4_annotations, p5_found, p5_unified, p6_found, p6_by_period)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_bands, p4_found, *map(_typed, KINDS), p5_found, p5_unified, p6_found, p6_by_period)}
 
 _PATH = r"regexp_replace(regexp_replace(regexp_replace(lower({0}), '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g'), '[\\/]+', '/', 'g'), '^(\./|/)+', '')"
 _ORPHANS = (

@@ -75,6 +75,33 @@ def test_deep_nesting():
     assert len(found({"objects": [body]})) == 301
 
 
+@pytest.mark.parametrize("depth", [3_000, 200_000])
+def test_any_depth(depth):
+    """Deep rings, objects and plain members; the parser and the writer have no limit either."""
+    deep = "[" * depth + "]" * depth
+    assert found('{"objects": [{"class": 1, "polygon": ' + deep + ', "holes": [[0, 0, 1, 0, 1, 1]]}]}') == [("object", "objects[0]", "$"), ("ring", "objects[0].holes[0]", "objects[0]")]
+    (node,) = nodes('{"bbox": [1, 2, 3, 4], "x": ' + deep + "}")
+    assert node[4] == '{"bbox":[1,2,3,4],"x":' + deep + "}"
+    assert found('{"polygon": ' + "[" * depth + "]" * (depth - 1) + "}") == []
+    levels = 3_000
+    assert len(found('{"objects": [' + '{"parts": [' * levels + "{}" + "]}" * levels + "]}")) == levels + 1
+
+
+def test_deep_parser_agrees_with_the_usual_one():
+    from quadrat.operators.nested import _parse_deep
+
+    for text in ('{"a": [1, -2.5e3, "x\\n\\u00e9", {}, [], null, true, {"b": [[0]]}], "c": false} ', "[]", "3", '"x"', " [ 1 , 2 ] "):
+        assert _parse_deep(text) == json.loads(text)
+    for text in ("", "[1,]", "{1: 2}", '{"a" 1}', "[1 2]", "[1]]", '{"a": }', "[", '{"a": 1', "nul"):
+        with pytest.raises((ValueError, IndexError)):
+            _parse_deep(text)
+
+
+def test_states_decide_the_variant():
+    assert state({"objects": 5, "polygon": RING}) == "shape" and found({"objects": 5, "polygon": RING}) == [("ring", "polygon[0]", "$")]
+    assert [state(v) for v in ({"images": None}, {"imgWidth": "5"}, {"boxes": []}, {"bbox": [1, 2, 3, 4]}, {"attributes": []}, [{"bbox": None}, {"objects": []}])] == ["coco", "polygons", "boxes", "box", "record", "records"]
+
+
 def test_tables(spark):
     coco = json.dumps({"images": [{"id": 1, "file_name": "a.tif"}], "annotations": [{"id": 5, "image_id": "1", "area": 2.5, "bbox": [1, 2, 3, 4]}]})
     df = spark.createDataFrame([(1, coco, "x"), (1, coco, "x"), (2, None, None)], "file_id int, body string, node_kind string")
