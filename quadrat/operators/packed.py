@@ -2,8 +2,10 @@
 
 The kernel never looks at a row by itself.  It scans the byte buffer of an Arrow string
 column with boolean masks: quote parity, names, decimal commas and delimiters are masks over
-all bytes of the batch; tokens are the runs that remain, and their places follow from running
-counts of delimiters.
+all bytes of a slice of the batch (of ``SLICE`` bytes, or one text if that is longer); tokens are the
+runs that remain, and their places follow from running counts of delimiters.  The tokens' parents give
+the offsets of a list array, a list of (place, value) per text, which is flattened with the ordinals of
+its parents.
 
 Cases and their result
 ----------------------
@@ -29,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of text that are scanned at once; the masks take some hundred times as much memory.
+SLICE = 1 << 20
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -146,6 +150,22 @@ def scan_packed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordinal[parent[good][fits]], place[good][fits], micro[fits].astype(np.int64)
 
 
+def packed_lists(texts: pa.Array) -> pa.ListArray:
+    """The numbers of each text as a list of ``struct<pos, value_micro>``; an empty one if there is none."""
+    parent, place, micro = scan_packed(texts)
+    offsets = np.searchsorted(parent, np.arange(len(texts) + 1)).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(micro)], ["pos", "value_micro"])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Begin and length of consecutive parts of an array with about ``SLICE`` bytes each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
+    part = size // SLICE
+    begins = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(texts) else []
+    yield from zip(begins, np.diff(np.append(begins, len(texts))))
+
+
 def explode_packed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """One row per packed number of ``fields``: ``row_id, field_name, pos, value_micro``.
 
@@ -155,12 +175,15 @@ def explode_packed(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("row_id", pa.int64()), ("field_name", pa.string()), ("pos", pa.int32()), ("value_micro", pa.int64())])
         for batch in batches:
-            ids = batch.column(0)
             for k, field in enumerate(fields, 1):
-                parent, place, micro = scan_packed(batch.column(k))
-                if len(parent):
-                    name = pa.DictionaryArray.from_arrays(np.zeros(len(parent), np.int8), [field]).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(parent)), name, pa.array(place.astype(np.int32)), pa.array(micro)], schema=schema)
+                texts = batch.column(k)
+                for begin, size in _slices(texts):
+                    lists = packed_lists(texts.slice(begin, size))
+                    values, parents = lists.flatten(), pc.list_parent_indices(lists)
+                    if len(values):
+                        ids = batch.column(0).slice(begin, size).take(parents)
+                        name = pa.DictionaryArray.from_arrays(np.zeros(len(values), np.int8), [field]).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([ids, name, values.field("pos"), values.field("value_micro")], schema=schema)
 
     narrow = df.select(F.col(id_col).cast("bigint"), *[F.col(f).cast("string") for f in fields])
     return narrow.mapInArrow(rows, "row_id bigint, field_name string, pos int, value_micro bigint")

@@ -76,3 +76,19 @@ def test_table(spark):
 def test_very_long_text(spark):
     text = ";".join(["0.5"] * 200_000)
     assert explode_packed(spark.createDataFrame([(1, text)], "row_id int, m string"), "row_id", ["m"]).agg({"pos": "max"}).first()[0] == 200_000
+
+
+def test_lists_and_slices(spark, monkeypatch):
+    """One list per text with the ordinals of its parents; slices of any size give the same rows."""
+    import pyarrow as pa
+
+    from quadrat.operators import packed
+
+    texts = pa.array(["1;2", None, "", "x", "[3, , 4]", "5" * 3, None])
+    assert [[(v["pos"], v["value_micro"]) for v in row] for row in packed.packed_lists(texts).to_pylist()] == [[(1, 10**6), (2, 2 * 10**6)], [], [], [], [(1, 3 * 10**6), (3, 4 * 10**6)], [(1, 555 * 10**6)], []]
+    df = spark.createDataFrame([(k, "; ".join(str(k + j) for j in range(k % 5)), None) for k in range(300)] + [(301, "7 " * 5000, "8")], "row_id bigint, a string, b string")
+    whole = sorted(map(tuple, packed.explode_packed(df, "row_id", ["a", "b"]).collect()))
+    monkeypatch.setattr(packed, "SLICE", 10)
+    parts = list(packed._slices(pa.array(["12345", None, "1234567", "1" * 40, "", "2"])))
+    assert [(int(a), int(b)) for a, b in parts] == [(0, 2), (2, 1), (3, 3)]
+    assert sorted((k, "a", p + 1, v * 10**6) for k in range(300) for p, v in enumerate(k + j for j in range(k % 5))) + [(301, "a", p, 7 * 10**6) for p in range(1, 5001)] + [(301, "b", 1, 8 * 10**6)] == whole
