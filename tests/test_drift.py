@@ -61,6 +61,26 @@ def test_matching_prefers_agreement_then_names():
     assert match_fields(old, [], {}) == []
 
 
+def test_flooding_decides_between_equal_values(spark):
+    """Where values agree alike, names, types and nested members decide, also against the order of the fields."""
+    old, new = [("height", "integer"), ("width", "integer")], [("a_width", "integer"), ("b_height", "integer")]
+    same = {(o[0], n[0]): 1.0 for o in old for n in new}
+    assert match_fields(old, new, same) == [("height", "b_height"), ("width", "a_width")]
+    shapes = [("boxes", "array", "ARRAY<OBJECT<bbox: ARRAY<BIGINT>, class: BIGINT>>"), ("polys", "array", "ARRAY<OBJECT<polygon: ARRAY<ARRAY<DOUBLE>>>>")]
+    turned = [("c1", "array", shapes[1][2]), ("c2", "array", shapes[0][2])]
+    assert sorted(match_fields(shapes, turned, {(o[0], n[0]): 1.0 for o in shapes for n in turned})) == [("boxes", "c2"), ("polys", "c1")]
+    a = [{"image": f"i{k}", "height": 512, "width": 512} for k in range(6)]
+    b = [{"image": f"i{k}", "a_width": 512, "b_height": 512} for k in range(6)]
+    assert changes(spark, lines("s", 1, a) + lines("s", 2, b)) == [("s", 2, "renamed", "height", "b_height"), ("s", 2, "renamed", "width", "a_width")]
+
+
+def test_members_of_shapes():
+    from quadrat.operators.drift import _members
+
+    assert _members("ARRAY<OBJECT<bbox: ARRAY<BIGINT>, at: OBJECT<x: DOUBLE>, class: BIGINT>>") == [(-1, "bbox", "ARRAY"), (-1, "at", "OBJECT"), (1, "x", "DOUBLE"), (-1, "class", "BIGINT")]
+    assert _members("ARRAY<BIGINT>") == _members(None) == []
+
+
 def test_unified(spark):
     a = [{"image": f"i{k}", "width": k} for k in range(3)]
     b = [{"image": f"i{k}", "largura": k} for k in range(3)]
