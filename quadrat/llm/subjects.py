@@ -5,12 +5,14 @@ sentence deals with one subject or none, its words depend on its subject and lan
 document's labels only make its subject likelier, by as much as their rater has proved right.
 So wrong labels, second subjects and passing remarks sort themselves out sentence by sentence.
 
-*Chain.*  Over all documents, the share of sentences per subject (term features), the length and
-the spread over subjects (structure features) and the rate of a subject in the document's source
-(source feature) go into a chain of logistic models, one per subject, each of which also sees
-the decisions on the subjects before it, so that subjects that go together are learned.  The
-models are fitted by likelihood, and so calibrated; the likeliest combination is found by beam
-search.  As an exact check, a subject must hold at least ``SHARE`` of the sentences.
+*Chain.*  The share of sentences per subject (term features), the length, the spread over subjects and
+the share of sentences without known terms (structure features) and the rate of a subject in the
+document's source (source feature) go into a chain of logistic models, one per subject, each of which
+also sees the decisions on the subjects before it, so that subjects that go together are learned.  The
+chain is fitted on held-out folds: the features of a fold come from a mixture that was fitted
+without it, its target from the one that saw all labels.  So the chain learns how far shares can be
+trusted, and its probabilities are calibrated on documents that the terms don't come from.  The
+likeliest combination is found by beam search, and it is the result.
 
 Cases and their result
 ----------------------
@@ -32,12 +34,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrat.llm.text import sentences
+from quadrat.session import joined, kept
 
 #: Least share of a document's sentences that deal with one of its subjects.
 SHARE = 0.2
 #: Labelled documents that the model is fitted on, at most (chosen by the hash of their id).
 SAMPLE = 4000
+#: Characters of the texts of these documents, at most.
+SAMPLE_CHARS = 64_000_000
 BEAM = 4
+#: Penalties of the chain's weights: of the constant and a subject's own terms, and of all others.
+OWN, OTHERS = 0.05, 5.0
+#: Weight of "the share is large enough" that little data leave as it is.
+TRUSTED = 3.0
+#: Structure features, the constant among them.
+STRUCTURE = 5
+#: Folds that the chain is fitted on.
+FOLDS = 2
+#: Slope of the term features near ``SHARE``.
+STEEP = 60
 #: Share of a term's documents that must deal with a subject for the term to speak for it, first by labels, then by content.
 PURE_LABELLED = 0.35
 PURE = 0.5
@@ -113,7 +128,9 @@ class SubjectModel:
         """Term, structure and source features of each document."""
         rate = np.array([self.sources.get(s, self.average) for s in sources]).reshape(len(sizes), -1)
         spread = (shares > 0).sum(1)
-        return np.column_stack([np.ones(len(sizes)), np.log1p(sizes) / 5, spread / 5, shares.max(1, initial=0), shares, np.clip((shares - SHARE) * 40, -2, 2), rate])
+        structure = [np.ones(len(sizes)), np.log1p(sizes) / 5, spread / 5, shares.max(1, initial=0), shares.sum(1)]
+        near = np.tanh((shares - SHARE) * STEEP + 0.5)  # how surely a share is large enough
+        return np.column_stack([*structure, shares, near, np.log(rate / (1 - rate)) / 3])
 
     def decode(self, features: np.ndarray) -> np.ndarray:
         """The likeliest combination of subjects of each document, by beam search."""
@@ -131,13 +148,13 @@ class SubjectModel:
         return paths[:, 0, :].astype(bool).reshape(n, k)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Logistic regression by Newton steps; a constant target gives its smoothed rate."""
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton steps; each weight is drawn to its centre by its own penalty."""
+    w = centre.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        grad = x.T @ (p - y) + ridge * (w - centre)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), grad)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-5:
             break
@@ -160,6 +177,32 @@ def speaks(holding: np.ndarray, spread: np.ndarray, base: np.ndarray, least: flo
 
 def fit(texts: list[list[list[str]]], labels: list[list[tuple[str, str]]], sources: list[str | None], subjects: list[str], rounds: int = 10) -> SubjectModel:
     """The model from labelled documents: sentences, (subject, rater) pairs and source of each."""
+    model, truth = _mixture(texts, labels, sources, subjects, rounds)
+    fold = np.arange(len(texts)) % FOLDS
+    x = np.zeros((len(texts), 0))
+    for k in range(FOLDS):
+        own, others = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if not len(own) or not len(others):
+            continue
+        pick = lambda rows, at: [rows[i] for i in at]
+        apart, _ = _mixture(pick(texts, others), pick(labels, others), pick(sources, others), subjects, rounds)
+        found = apart.features(*apart.shares(pick(texts, own)), pick(sources, own))
+        x = np.zeros((len(texts), found.shape[1])) if not x.shape[1] else x
+        x[own] = found
+    if not x.shape[1]:  # a single document
+        x = model.features(*model.shares(texts), sources)
+    for c in range(len(subjects)):
+        every = np.column_stack([x, truth[:, :c]])
+        near = STRUCTURE + len(subjects) + c
+        ridge, centre = np.full(every.shape[1], OTHERS), np.zeros(every.shape[1])
+        ridge[[0, STRUCTURE + c, near]] = OWN
+        centre[near] = TRUSTED
+        model.chain.append(_logistic(every, truth[:, c], ridge, centre))
+    return model
+
+
+def _mixture(texts: list[list[list[str]]], labels: list[list[tuple[str, str]]], sources: list[str | None], subjects: list[str], rounds: int) -> tuple[SubjectModel, np.ndarray]:
+    """The sentence mixture as a model without chain, and the subjects of the documents by it and their labels."""
     k, docs = len(subjects), len(texts)
     where = {s: i for i, s in enumerate(subjects)}
     words: dict[str, int] = {}
@@ -245,19 +288,37 @@ def fit(texts: list[list[list[str]]], labels: list[list[tuple[str, str]]], sourc
         rows = [d for d, s in enumerate(sources) if s == source]
         by_source[source] = (truth[rows].sum(0) + 5 * average) / (len(rows) + 5)
     model = SubjectModel(subjects, {names[i]: j for j, i in enumerate(index)}, votes[index], weight.reshape(_LANGUAGES, size, k + 1)[:, index, :].astype(np.float32), by_source, average, [])
-    x = model.features(*model.shares(texts), sources)
-    for c in range(k):
-        model.chain.append(_logistic(np.column_stack([x, truth[:, :c]]), truth[:, c]))
-    return model
+    return model, truth
+
+
+def _sample(documents: DataFrame, rated: DataFrame) -> DataFrame:
+    """The labelled documents to fit on: those with the lowest hashes, at most ``SAMPLE`` and ``SAMPLE_CHARS``.
+
+    Only ids and lengths of about twice ``SAMPLE`` documents reach the driver for the choice.
+    """
+    spark = documents.sparkSession
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    sized = kept(joined(documents.where("text is not null").select("doc_id", F.length("text").cast("bigint").alias("n")), rated.select("doc_id"), ["doc_id"]).groupBy("doc_id").agg(F.max("n").alias("n")))
+    share = 2 * SAMPLE / max(1, sized.count())
+    rows = sized.select(drawn.alias("h"), "doc_id", "n").where(F.col("h") < int(min(1.0, share) * (1 << 40))).collect()
+    chosen, chars = [], 0
+    for _, doc_id, n in sorted(map(tuple, rows)):
+        chars += n
+        if len(chosen) == SAMPLE or chars > SAMPLE_CHARS:
+            break
+        chosen.append((doc_id,))
+    ids = spark.createDataFrame(chosen, "doc_id bigint")
+    return documents.where("text is not null").select("doc_id", "text", "source").join(F.broadcast(ids), "doc_id")
 
 
 def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> SubjectModel | None:
-    """The model from at most ``SAMPLE`` labelled documents; None if there is none."""
+    """The model from a bounded sample of labelled documents; None if there is none."""
     names = [r["subject"] for r in subjects.where("subject is not null").select("subject").distinct().sort("subject").collect()]
-    rated = labels.where("doc_id is not null").where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set(F.struct("subject", F.coalesce("rater", F.lit("")).alias("rater"))).alias("given"))
-    joined = documents.where("text is not null").select("doc_id", "text", "source").join(F.broadcast(rated) if rated.count() <= 200_000 else rated, "doc_id")
-    rows = joined.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
+    plain = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source")
+    rated = labels.where("doc_id is not null").where(F.col("subject").isin(names)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.collect_set(F.struct("subject", F.coalesce("rater", F.lit("")).alias("rater"))).alias("given"))
+    rated = kept(rated)
+    rows = _sample(plain, rated).join(rated, "doc_id").collect()
+    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["source"] or ""))
     if not rows:
         return None
     return fit([sentences(r["text"]) for r in rows], [sorted((g["subject"], g["rater"]) for g in r["given"]) for r in rows], [r["source"] for r in rows], names)
@@ -266,17 +327,20 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -
 def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
     """``doc_id, subject`` of every document: a narrow map over whole texts."""
     schema = "doc_id bigint, subject string"
+    spark = documents.sparkSession
     model = fit_subjects(documents, labels, subjects)
     if model is None:
-        return documents.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast(model)  # as large as the sample's vocabulary, which SAMPLE_CHARS bounds
 
-    def run(batches: Iterator[pd.DataFrame], model: SubjectModel = model) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
         names = np.array(model.subjects, object)
         for batch in batches:
             for begin in range(0, len(batch), 512):
                 part = batch.iloc[begin : begin + 512]
                 shares, sizes = model.shares([sentences(t) for t in part["text"]])
-                found = model.decode(model.features(shares, sizes, list(part["source"]))) & (shares >= SHARE - 1e-9)
+                found = model.decode(model.features(shares, sizes, list(part["source"]))) & (shares > 0)
                 row, subject = np.nonzero(found)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[row], "subject": names[subject]})
 

@@ -214,6 +214,58 @@ def test_subjects(spark, monkeypatch):
     assert subject_module.SAMPLE >= 1000
 
 
+def chain_of(weights, sources):
+    """A chain over two subjects, a and b, without terms."""
+    width = subject_module.STRUCTURE + 3 * 2
+    chain = []
+    for c, (own, source, before) in enumerate(weights):
+        w = np.zeros(width + c)
+        w[0], w[subject_module.STRUCTURE + 4 + c] = own, source
+        w[width:] = before
+        chain.append(w)
+    return subject_module.SubjectModel(["a", "b"], {}, np.zeros((0, 3)), np.zeros((3, 0, 3)), sources, np.array([0.5, 0.5]), chain)
+
+
+def test_source_cooccurrence_and_beam_decide(monkeypatch):
+    """Each part of the chain changes what is found."""
+    shares, sizes = np.full((1, 2), 0.2), np.array([5])
+    found = lambda model, source: model.decode(model.features(shares, sizes, [source]))[0].tolist()
+    by_source = chain_of([(-0.5, 3.0, []), (-0.5, 0.0, [0.0])], {"law": np.array([0.9, 0.5])})
+    assert found(by_source, "law") == [True, False] and found(by_source, None) == [False, False]
+    assert found(chain_of([(1.0, 0.0, []), (-0.5, 0.0, [2.0])], {}), None) == [True, True]
+    assert found(chain_of([(1.0, 0.0, []), (-0.5, 0.0, [0.0])], {}), None) == [True, False]
+    torn = chain_of([(0.1, 0.0, []), (3.0, 0.0, [-3.0])], {})  # a alone is likelier, but b without a far more so
+    assert found(torn, None) == [False, True]
+    monkeypatch.setattr(subject_module, "BEAM", 1)
+    assert found(torn, None)[0]
+
+
+def test_chain_is_calibrated_on_new_documents():
+    """Marginals of the first chain link on documents that the model hasn't seen, in a corpus with weak terms."""
+    rng = random.Random(12)
+    texts, truth = corpus(rng, 700)
+    names = sorted(TERMS)
+    labels = [[(rng.choice(sorted(t)), "r")] if t else [] for t in truth]
+    model = subject_module.fit([sentences(t) for t in texts[:300]], labels[:300], [None] * 300, names)
+    x = model.features(*model.shares([sentences(t) for t in texts[300:]]), [None] * 400)
+    p = 1 / (1 + np.exp(-(x @ model.chain[0])))
+    y = np.array([names[0] in t for t in truth[300:]], float)
+    assert abs(p.mean() - y.mean()) < 0.05 and ((p - y) ** 2).mean() < 0.05
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    rng = random.Random(13)
+    texts, truth = corpus(rng, 120)
+    d = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    rated = spark.createDataFrame([(k,) for k in range(200)], "doc_id bigint")
+    whole = subject_module._sample(d, rated).count()
+    monkeypatch.setattr(subject_module, "SAMPLE", 30)
+    few = {r["doc_id"] for r in subject_module._sample(d, rated).collect()}
+    monkeypatch.setattr(subject_module, "SAMPLE_CHARS", sum(len(texts[k]) for k in few) // 2)
+    fewer = {r["doc_id"] for r in subject_module._sample(d, rated).collect()}
+    assert whole == 120 and len(few) == 30 and fewer < few and sum(len(texts[k]) for k in fewer) <= subject_module.SAMPLE_CHARS
+
+
 @pytest.mark.parametrize("docs", [300, 600, 3600])
 def test_rare_pure_terms_speak_in_samples_of_any_size(docs):
     rng = random.Random(docs)
