@@ -331,10 +331,10 @@ def document_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     model = fit_subjects(documents, labels, subjects)
     if model is None:
         return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(model)  # as large as the sample's vocabulary, which SAMPLE_CHARS bounds
+    shared = spark.sparkContext.broadcast(vars(model))  # as large as the sample's vocabulary, which SAMPLE_CHARS bounds
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = SubjectModel(**shared.value)
         names = np.array(model.subjects, object)
         for batch in batches:
             for begin in range(0, len(batch), 512):
