@@ -142,18 +142,32 @@ def flipped(pixels: Column, width: int) -> Column:
     return F.flatten(F.transform(rows, lambda r: F.reverse(F.slice(pixels, r * width + 1, F.lit(width)))))
 
 
-def valid_crop(freq: Column, size: Column) -> Column:
-    """Whether a crop holds every class and no vanishing object."""
-    return (F.array_min(freq) > 0) & (F.array_min(size) > 0)
+def pixel_frequency(mask: Column, freq: Column) -> Column:
+    """Frequency of each pixel's class: that of its class where the mask is set, else that of the background.
+
+    ``mask`` is a raster of one class, ``freq`` the frequency of that class.
+    """
+    return F.transform(mask, lambda v: F.when(v > 0, freq).otherwise(1 - freq))
+
+
+def valid_crop(mask: Column, freq: Column, size: Column | None = None) -> Column:
+    """Whether no pixel of a crop has a class (or background) of frequency 0, nor an object of size 0.
+
+    A class that no pixel of the crop has may have the frequency 0.
+    """
+    good = ~F.exists(pixel_frequency(mask, freq), lambda f: f == 0)
+    return good if size is None else good & (F.array_min(size) > 0)
 
 
-def pixel_weight(freq: Column, distance: Column, size: Column, w0: float = 50.0, sigma: float = 10.0, radius: float = 10.0) -> Column:
+def pixel_weight(freq: Column, distance: Column, size: Column, height: int, width: int, w0: float = 50.0, sigma: float = 10.0) -> Column:
     """Loss weight of a pixel: rarity of its class plus closeness to two objects, larger for small ones.
 
-    NULL where the class frequency or the size is 0.
+    ``distance`` is a share of height + width, as masks hold it.  NULL where the frequency of the
+    pixel's class or the size is 0.
     """
-    near = w0 * F.exp(-(distance * distance) / (sigma * sigma))
-    return (F.try_divide(F.lit(1.0), freq) + near) * (1 + F.try_divide(F.lit(1.0), radius * size))
+    far = distance * float(height + width)
+    near = w0 * F.exp(-(far * far) / (sigma * sigma))
+    return (F.try_divide(F.lit(1.0), freq) + near) * (1 + F.try_divide(F.lit(1.0), size * (math.sqrt(height * width) / 2)))
 
 
 # Complex numbers: struct<re double, im double>.

@@ -60,15 +60,30 @@ def decode(tokens: Column, grid: int = 28, scale_w: Column | None = None, scale_
     return F.transform(own, lambda t: point(((t % grid) * 8.0 + 4) / sw + mc, (F.floor(t / grid) * 8.0 + 4) / sh + mr))
 
 
-def decode_to_mark(tokens: Column, grid: int = 28) -> Column:
-    """Cell centres of the tokens before the largest one if that is a mark; the last two are dropped.
+def decode_to_mark(tokens: Column, grid: int = 28, scale_w: Column | None = None, scale_h: Column | None = None, min_col: Column | None = None, min_row: Column | None = None) -> Column:
+    """Cell centres of the tokens before the largest one if that is a mark, scaled and moved into the image; the last two are dropped.
 
     Made for sequences with padding, whose largest token stands two places behind the end mark.
     """
+    sw, sh, mc, mr = (c if c is not None else F.lit(v) for c, v in ((scale_w, 1.0), (scale_h, 1.0), (min_col, 0.0), (min_row, 0.0)))
     most = F.array_max(tokens)
     own = F.when(most >= grid * grid, F.slice(tokens, 1, F.array_position(tokens, most).cast("int") - 1)).otherwise(tokens)
     kept = F.slice(own, 1, F.greatest(F.size(own) - 2, F.lit(0)))
-    return F.transform(kept, lambda t: point(F.floor((t % grid + 0.5) / grid * TILE), F.floor((F.floor(t / grid) + 0.5) / grid * TILE)))
+    return F.transform(kept, lambda t: point(F.floor((t % grid + 0.5) / grid * TILE) / sw + mc, F.floor((F.floor(t / grid) + 0.5) / grid * TILE) / sh + mr))
+
+
+def decode_plain(tokens: Column, grid: int = 28, cell: float = 8.0) -> Column:
+    """The older decoding: column and row times the cell, where a row is a true quotient (not rounded down)."""
+    end = F.array_position(tokens, F.lit(grid * grid).cast("int"))
+    own = F.when(end > 0, F.slice(tokens, 1, end.cast("int") - 1)).otherwise(tokens)
+    return F.transform(own, lambda t: point((t % grid) * cell, t / F.lit(float(grid)) * cell))
+
+
+def merged_targets(rows: Column) -> Column:
+    """An array of maps of arrays as one map: each key's arrays joined in the order of the rows."""
+    keys = F.array_distinct(F.flatten(F.transform(rows, lambda m: F.map_keys(m))))
+    of = lambda k: F.flatten(F.transform(F.filter(rows, lambda m: F.map_contains_key(m, k)), lambda m: F.element_at(m, k)))
+    return F.map_from_arrays(keys, F.transform(keys, of))
 
 
 def token_accuracy(a: Column, b: Column) -> Column:

@@ -1,7 +1,7 @@
 """How far the directions of a predicted outline are from those of the truth.
 
 The outline is walked in steps of about ``spacing``; every point is moved to the nearest point of
-the true polygon (points inside it stay).  Steps that vanish or are stretched by ``max_stretch`` or
+the true polygon (points inside it stay), or of its rings if ``on_rings`` (then all points move).  Steps that vanish or are stretched by ``max_stretch`` or
 more are left out; the largest angle between a step and its image counts, over all outlines.
 """
 
@@ -40,18 +40,19 @@ def inside(points: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
     return odd
 
 
-def nearest_on(points: np.ndarray, rings: list[np.ndarray]) -> np.ndarray:
-    """The nearest point of a polygon for each point, itself if it lies inside."""
+def nearest_on(points: np.ndarray, rings: list[np.ndarray], on_rings: bool = False) -> np.ndarray:
+    """The nearest point of a polygon for each point, itself if it lies inside; of its rings if ``on_rings``."""
     a = np.vstack(rings)
     d = np.vstack([np.roll(r, -1, axis=0) - r for r in rings])
     size = np.maximum((d**2).sum(1), np.finfo(float).tiny)
     share = np.clip(((points[:, None] - a) * d).sum(2) / size, 0, 1)
     feet = a + share[:, :, None] * d
     best = ((feet - points[:, None]) ** 2).sum(2).argmin(1)
-    return np.where(inside(points, rings)[:, None], points, feet[np.arange(len(points)), best])
+    nearest = feet[np.arange(len(points)), best]
+    return nearest if on_rings else np.where(inside(points, rings)[:, None], points, nearest)
 
 
-def tangent_angle_error(truth: list[np.ndarray], predicted: list[np.ndarray], spacing: float = 1.0, max_stretch: float = 2.0) -> float | None:
+def tangent_angle_error(truth: list[np.ndarray], predicted: list[np.ndarray], spacing: float = 1.0, max_stretch: float = 2.0, on_rings: bool = False) -> float | None:
     """The largest angle in radians; None if no step can be compared."""
     if not truth or min(map(len, truth)) < 3:
         return None
@@ -60,7 +61,7 @@ def tangent_angle_error(truth: list[np.ndarray], predicted: list[np.ndarray], sp
         if len(ring) < 2:
             continue
         points = walk(ring, spacing)
-        images = np.vstack([nearest_on(points[k : k + 4096], truth) for k in range(0, len(points), 4096)])
+        images = np.vstack([nearest_on(points[k : k + 4096], truth, on_rings) for k in range(0, len(points), 4096)])
         step, moved = np.diff(points, axis=0), np.diff(images, axis=0)
         p, q = np.hypot(*step.T), np.hypot(*moved.T)
         good = (p * q > 0) & (p < max_stretch * q) & (q < max_stretch * p)
@@ -81,13 +82,25 @@ def with_tangent_angle_error(df: DataFrame, truth: str, predicted: str, spacing:
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("angle_error", T.DoubleType())]))
 
 
-def contour_errors(df: DataFrame, truth: str, predicted: str, least_precision: float = 0.5, **options: float) -> DataFrame:
-    """Angle errors of the pairs whose shared area is more than ``least_precision`` of the prediction.
+def contour_errors(truth: DataFrame, predicted: DataFrame, least_precision: float = 0.5, spacing: float = 1.0, max_stretch: float = 2.0) -> DataFrame:
+    """``image, target, angle_error`` of each predicted polygon against all true ones of its image.
 
-    ``df`` must have ``inter``, the shared area of the two rings.
+    ``truth`` has ``image, ref, ref_ring`` and ``predicted`` has ``image, target, target_ring``.  A prediction
+    counts if all truths together (true polygons of an image don't overlap) share more than
+    ``least_precision`` of its area; its points are moved to the nearest true ring.
     """
     from pyspark.sql import functions as F
 
     from quadrat.functions import geometry as g
+    from quadrat.operators.kernels import with_polygon_iou
 
-    return with_tangent_angle_error(df.where(F.try_divide("inter", g.area(F.col(predicted))) > least_precision), truth, predicted, **options)
+    pairs = predicted.join(truth, "image")
+    shared = with_polygon_iou(pairs, "target_ring", "ref_ring").groupBy("image", "target").agg(F.sum("inter").alias("inter"), F.first("target_ring").alias("target_ring"), F.collect_list("ref_ring").alias("refs"))
+    good = shared.where(F.try_divide("inter", g.area(F.col("target_ring"))) > least_precision).select("image", "target", "target_ring", "refs")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [tangent_angle_error([_xy(r) for r in refs], [_xy(p)], spacing, max_stretch, True) for refs, p in zip(batch["refs"], batch["target_ring"])]
+            yield pd.DataFrame({"image": batch["image"], "target": batch["target"], "angle_error": pd.Series(found, index=batch.index, dtype=float)})
+
+    return good.mapInPandas(run, "image bigint, target bigint, angle_error double")

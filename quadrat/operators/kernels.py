@@ -313,47 +313,118 @@ def edge_distances(ring: np.ndarray, height: int, width: int) -> np.ndarray:
     return (xs - a[:, 0] - t * d[:, 0]) ** 2 + (ys - a[:, 1] - t * d[:, 1]) ** 2
 
 
-def masks_of(rings: list[np.ndarray], height: int, width: int, line: float = 3.0) -> dict[str, np.ndarray]:
-    """All masks of an image's polygons; only the two smallest distances are held at a time."""
+def distance_to(mask: np.ndarray) -> np.ndarray:
+    """Distance of each pixel to the nearest one of the mask, exact; infinite if the mask is empty.
+
+    Squared distances along the columns first, then the lower envelope along the rows, offset by
+    offset until no offset can be nearer.
+    """
+    height, width = mask.shape
+    rows = np.arange(height)[:, None]
+    above = np.maximum.accumulate(np.where(mask, rows, -np.inf), axis=0)
+    below = np.minimum.accumulate(np.where(mask, rows, np.inf)[::-1], axis=0)[::-1]
+    column = np.minimum(rows - above, below - rows) ** 2
+    best = column.copy()
+    for k in range(1, width):
+        if k * k >= best.max():
+            break
+        best[:, k:] = np.minimum(best[:, k:], column[:, :-k] + k * k)
+        best[:, :-k] = np.minimum(best[:, :-k], column[:, k:] + k * k)
+    return np.sqrt(best)
+
+
+def dilated(mask: np.ndarray, radius: int) -> np.ndarray:
+    """The mask grown by a disc."""
+    height, width = mask.shape
+    out = np.zeros_like(mask)
+    for dy in range(-radius, radius + 1):
+        reach = int(np.sqrt(radius * radius - dy * dy))
+        for dx in range(-reach, reach + 1):
+            out[max(0, dy) : height + min(0, dy), max(0, dx) : width + min(0, dx)] |= mask[max(0, -dy) : height + min(0, -dy), max(0, -dx) : width + min(0, -dx)]
+    return out
+
+
+def window_of(ring: np.ndarray, height: int, width: int, margin: float) -> tuple[slice, slice] | None:
+    """Rows and columns that a ring with a margin reaches; None if it lies outside."""
+    low, high = ring.min(0), ring.max(0)
+    top, left = (max(0, int(np.floor(low[k]) - margin)) for k in (1, 0))
+    bottom, right = (min(n, int(np.ceil(high[k]) + margin)) for k, n in ((1, height), (0, width)))
+    return (slice(top, bottom), slice(left, right)) if top < bottom and left < right else None
+
+
+def direction_codes(ring: np.ndarray) -> np.ndarray:
+    """Direction of each edge in 0..255 for angles 0..pi from the vertical: 0 (or 255) upright, 128 level."""
+    d = np.roll(ring, -1, axis=0) - ring
+    angle = np.arctan2(d[:, 0], d[:, 1])
+    return np.rint(np.where(angle < 0, angle + np.pi, angle) * 255 / np.pi).astype(np.uint8)
+
+
+def masks_of(polygons: list[list[np.ndarray] | np.ndarray], height: int, width: int, line: int = 3, field_line: int = 2) -> dict[str, np.ndarray]:
+    """All masks of an image's polygons (a ring, or an outer ring and its holes).
+
+    ``polygon`` holds the interiors, ``boundary`` lines of width ``line`` without those in a frame
+    along the border, ``vertex`` discs of that diameter, ``crossfield`` the directions of the edges as
+    lines of width ``field_line``.  What a polygon draws is its mask: ``distance`` is the sum of the
+    distances to the nearest and the second nearest mask over height + width, and ``size`` the
+    polygon's share of the image on its mask grown by ``line`` (1 elsewhere).  Only the window around
+    a polygon is drawn, and only the two smallest distances are held at a time.  Polygons without area
+    only draw directions.
+    """
     out = {k: np.zeros((height, width), np.uint8) for k in ("polygon", "boundary", "vertex", "crossfield")}
     first, second = np.full((height, width), np.inf), np.full((height, width), np.inf)
     size = np.ones((height, width))
-    ys, xs = np.mgrid[0:height, 0:width] + 0.5
-    for ring in rings:
-        if ring_area(ring) <= 0:
+    for polygon in polygons:
+        rings = [r for r in (polygon if isinstance(polygon, list) else [polygon]) if len(r) > 1]
+        window = window_of(rings[0], height, width, 2 * line) if rings else None
+        if window is None:
             continue
-        inside, near = fill([ring], height, width), edge_distances(ring, height, width)
-        edge = near.min(0) <= line * line / 4
-        out["polygon"][inside] = 255
-        out["boundary"][edge] = 255
-        for x, y in ring:
-            out["vertex"][(xs - x) ** 2 + (ys - y) ** 2 <= line * line] = 255
-        d = np.roll(ring, -1, axis=0) - ring
-        angles = np.rint(np.mod(np.arctan2(d[:, 1], d[:, 0]), np.pi) * 255 / np.pi).astype(np.uint8)
-        for k, angle in enumerate(angles):
-            out["crossfield"][near[k] <= line * line / 4] = angle
-        gap = np.where(inside, 0, np.sqrt(near.min(0)))
+        rows, columns = window
+        shape = (rows.stop - rows.start, columns.stop - columns.start)
+        moved = [r - [columns.start, rows.start] for r in rings]
+        near = [edge_distances(r, *shape) for r in moved]
+        for edges, ring in zip(near, rings):
+            for edge, code in zip(edges, direction_codes(ring)):
+                out["crossfield"][window][edge <= field_line * field_line / 4] = code
+        area = ring_area(rings[0]) - sum(map(ring_area, rings[1:]))
+        if area <= 0:
+            continue
+        inside = fill(moved, *shape)
+        edge = np.min([edges.min(0) for edges in near], axis=0) <= line * line / 4
+        ys, xs = np.mgrid[0 : shape[0], 0 : shape[1]] + 0.5
+        corner = np.zeros(shape, bool)
+        for x, y in np.vstack(moved):
+            corner |= (xs - x) ** 2 + (ys - y) ** 2 <= line * line / 4
+        for name, drawn in (("polygon", inside), ("boundary", edge), ("vertex", corner)):
+            out[name][window][drawn] = 255
+        own = np.zeros((height, width), bool)
+        own[window] = inside | edge | corner
+        gap = distance_to(own)
         second = np.minimum(second, np.maximum(first, gap))
         first = np.minimum(first, gap)
-        size[inside | edge] = ring_area(ring) / (height * width)
+        size[window][dilated(own[window], line)] = area / (height * width)
     frame = np.ones((height, width), bool)
-    frame[3:-3, 3:-3] = False
+    frame[line:-line, line:-line] = False
     out["boundary"][frame] = 0
     total = np.where(np.isinf(first), 0, first) + np.where(np.isinf(second), 0, second)
     return out | {"distance": total / (height + width), "size": size}
 
 
 def rasterize(polygons: DataFrame, height: int, width: int) -> DataFrame:
-    """``image, mask, pixels`` from ``image, pos, ring``: one row per image and kind of mask."""
+    """``image, mask, pixels`` from ``image, pos, ring``: one row per image and kind of mask.
+
+    With a column ``holes`` (rings) polygons are drawn with their holes.
+    """
+    holed = "holes" in polygons.columns
 
     def run(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        rings = [_xy(r) for r in part["ring"]]
-        found = masks_of([r for r in rings if len(r) > 2], height, width)
+        holes = part["holes"] if holed else [None] * len(part["ring"])
+        rings = [[_xy(r), *(_xy(x) for x in (h if h is not None else []))] for r, h in zip(part["ring"], holes)]
+        found = masks_of([r for r in rings if len(r[0]) > 2], height, width)
         pixels = np.empty(len(found), object)
         pixels[:] = [m.astype(float).ravel() for m in found.values()]
         return {"image": np.repeat(part["image"][:1], len(found)), "mask": np.array(list(found), object), "pixels": pixels}
 
-    return map_groups(polygons.select("image", "pos", "ring"), "image", ["pos"], run, "image bigint, mask string, pixels array<double>")
+    return map_groups(polygons.select("image", "pos", "ring", *(["holes"] if holed else [])), "image", ["pos"], run, "image bigint, mask string, pixels array<double>")
 
 
 # Contours.

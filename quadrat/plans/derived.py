@@ -23,11 +23,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1 + F.col("l_quantity") / 2).alias("h"),
         F.col("l_discount").alias("d"),
         F.col("l_tax").alias("t"),
-    ).where("n % 2 = 1")
+    )
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``image, ref, ref_box``: every other line of an order."""
+    """``image, ref, ref_box``: every line of an order."""
     return _lines(spark, sf_dir).select("image", F.col("n").alias("ref"), boxes.from_xywh(*[F.col(c) for c in "xywh"]).alias("ref_box"))
 
 
@@ -44,7 +44,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOXES_SQL = """WITH lines AS (SELECT * FROM (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n,
- (l_partkey % 200)::DOUBLE AS x, (l_suppkey % 100)::DOUBLE AS y, l_quantity AS w, 1 + l_quantity / 2 AS h, l_discount AS d, l_tax AS t FROM lineitem) WHERE n % 2 = 1),
+ (l_partkey % 200)::DOUBLE AS x, (l_suppkey % 100)::DOUBLE AS y, l_quantity AS w, 1 + l_quantity / 2 AS h, l_discount AS d, l_tax AS t FROM lineitem)),
 refs AS (SELECT image, n AS ref, x AS rx1, y AS ry1, x + w AS rx2, y + h AS ry2 FROM lines),
 tgts AS (SELECT image, n AS target, x + 100 * d AS tx1, y + 100 * t AS ty1, x + 100 * d + w AS tx2, y + 100 * t + h AS ty2 FROM lines
  UNION ALL SELECT image, n + 100, x + 1, y + 1, x + 1 + w, y + 1 + h FROM lines),

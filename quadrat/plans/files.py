@@ -37,7 +37,7 @@ def feature_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def number_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of bracketed lists, written from the rasters and read again."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.concat(F.lit("["), F.array_join(F.slice(F.col("embedding").cast("array<double>").cast("array<string>"), 1, 3), ", "), F.lit("]")).alias("t"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<double>").cast("array<string>"), ", "), F.lit("]")).alias("t"))
     n = e.select("image", manifest.number_list(F.col("t")).alias("n"))
     return n.select("image", F.size("n").cast("bigint").alias("size"), F.round(F.aggregate("n", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
 
@@ -56,6 +56,6 @@ SQL = {
     "boxes_explode": "SELECT l_orderkey AS image, count(*) AS n, round(sum((l_quantity - 5) * l_quantity), 6) AS area FROM lineitem WHERE l_quantity > 5 GROUP BY 1",
     "polygons_roundtrip": _PARTS + f"SELECT (id // 7)::BIGINT AS image, 571 AS width, 572 AS height, count(*) AS n, round(sum{_AREA}, 6) AS area FROM p GROUP BY 1",
     "feature_collections": _PARTS + "SELECT (id // 7)::BIGINT AS layer, count(*) AS n, 'FeatureCollection' AS type FROM p GROUP BY 1",
-    "number_lists": "SELECT vec_id AS image, 3::BIGINT AS size, round(embedding[1]::DOUBLE + embedding[2]::DOUBLE + embedding[3]::DOUBLE, 6) AS total FROM embeddings",
+    "number_lists": "SELECT vec_id AS image, len(embedding)::BIGINT AS size, round(list_reduce(embedding::DOUBLE[], lambda a, b: a + b), 6) AS total FROM embeddings",
     "event_properties": "SELECT event_type, count(json_extract(props, '$.k')) AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1",
 }

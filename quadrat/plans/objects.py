@@ -93,7 +93,7 @@ def positional_box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean IoU of the i-th reference with the i-th target; 0 without a target."""
     by = W.partitionBy("image")
     a = references(spark, sf_dir).withColumn("pos", F.row_number().over(by.orderBy("ref")))
-    b = targets(spark, sf_dir).where("target < 100").withColumn("pos", F.row_number().over(by.orderBy("target")))
+    b = targets(spark, sf_dir).withColumn("pos", F.row_number().over(by.orderBy("target")))
     scored = a.join(b, ["image", "pos"], "left").withColumn("iou", F.coalesce(boxes.iou(F.col(_R), F.col(_T)), F.lit(0.0)))
     return scored.groupBy("image").agg(F.round(F.avg("iou"), 6).alias("mean_iou"))
 
@@ -150,6 +150,39 @@ QUERIES = {
     for f in (match_iou_boxes, match_pairs, match_pairs_grid, unmatched_refs, unmatched_targets, matched_semi, match_centres, match_hausdorff, match_frechet, match_metrics, vertex_errors)
 } | {f.__name__: f for f in (positional_box_iou, xywh_xyxy, shift_crop_drop, extended_bounds, nms_boxes, union_merge, map_at_50)}
 
+_HELD = ", held AS MATERIALIZED (SELECT image, ref, target FROM matches) "
+_RANKED = (
+    BOXES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + ", d AS (SELECT image, target AS det, trunc(tx1 + {0}) AS x1, trunc(ty1 + {1}) AS y1, trunc(tx2 + {0}) AS x2, trunc(ty2 + {1}) AS y2, ((target * 37 + image) % 100) / 100.0::DOUBLE AS score FROM tgts), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, det) AS k FROM d), "
+)
+_LAP = "(greatest(least({0}.x2, {1}.x2) - greatest({0}.x1, {1}.x1), 0) * greatest(least({0}.y2, {1}.y2) - greatest({0}.y1, {1}.y1), 0))"
+_SIZE = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))"
+_IOU = f"({_LAP} / nullif({_SIZE.format('{0}')} + {_SIZE.format('{1}')} - {_LAP}, 0))"
+_BOX = "{{'x1': {0}.x1, 'y1': {0}.y1, 'x2': {0}.x2, 'y2': {0}.y2, 'score': {0}.score}}"
+# Greedy suppression: the best box stays, and each further one unless a kept one overlaps it too much.
+_NMS = (
+    _RANKED.format(0, 0)
+    + f"s AS (SELECT image, k, det, true AS stays, [{_BOX.format('k')}] AS kept FROM k WHERE k = 1 UNION ALL "
+    f"SELECT n.image, n.k, n.det, n.stays, CASE WHEN n.stays THEN list_append(n.kept, {_BOX.format('n')}) ELSE n.kept END FROM "
+    f"(SELECT k.*, s.kept, len(list_filter(s.kept, lambda b: coalesce({_IOU.format('b', 'k')}, 0) > 0.5)) = 0 AS stays FROM s JOIN k ON k.image = s.image AND k.k = s.k + 1) n) "
+    "SELECT s.image, s.det, t.tx1 AS x1, t.ty1 AS y1, t.tx2 AS x2, t.ty2 AS y2, d.score, 1 AS label FROM s JOIN d ON d.image = s.image AND d.det = s.det JOIN tgts t ON t.image = s.image AND t.target = s.det WHERE s.stays"
+)
+# Greedy union: a box grows over each of the remaining ones in turn that overlaps it too much; the others wait.
+_GROWN = "{'x1': least(now.x1, todo[1].x1), 'y1': least(now.y1, todo[1].y1), 'x2': greatest(now.x2, todo[1].x2), 'y2': greatest(now.y2, todo[1].y2), 'score': greatest(now.score, todo[1].score)}"
+_UNION = (
+    _RANKED.format(10, 5)
+    + f"l AS (SELECT image, list({_BOX.format('k')} ORDER BY k) AS boxes FROM k GROUP BY image), "
+    "s AS (SELECT image, 0 AS det, boxes[1] AS now, boxes[2:] AS todo, [boxes[1]][2:] AS wait, false AS done FROM l UNION ALL "
+    "SELECT image, CASE WHEN done THEN det + 1 ELSE det END, "
+    f"CASE WHEN done THEN wait[1] WHEN len(todo) > 0 AND over THEN {_GROWN} ELSE now END, "
+    "CASE WHEN done THEN wait[2:] ELSE todo[2:] END, "
+    "CASE WHEN done THEN wait[1:0] WHEN len(todo) > 0 AND NOT over THEN list_append(wait, todo[1]) ELSE wait END, "
+    "NOT done AND len(todo) = 0 "
+    f"FROM (SELECT *, coalesce({_IOU.format('now', '(todo[1])')}, 0) > 0.5 AS over FROM s) WHERE NOT (done AND len(wait) = 0)), "
+    "o AS (SELECT image, det, greatest(0, least({0}, now.x1)) AS x1, greatest(0, least({1}, now.y1)) AS y1, greatest(0, least({0}, now.x2)) AS x2, greatest(0, least({1}, now.y2)) AS y2, now.score AS score FROM s WHERE done) "
+    "SELECT image, det::BIGINT AS det, x1::DOUBLE AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2, score, 1 AS label FROM o WHERE x1 <> x2 AND y1 <> y2"
+).replace("{0}", "220").replace("{1}", "120")
 _PAIRS = BOXES_SQL + "SELECT image, ref, target, round(iou, 6) AS iou FROM matches"
 _SMALLEST = (
     BOXES_SQL
@@ -200,9 +233,9 @@ SQL = {
     + "SELECT r.image, count(DISTINCT r.ref) AS n_refs, count(m.ref) AS n_matches, round(avg(m.iou), 6) AS mean_iou, round(sum(m.inter), 6) AS shared FROM refs r LEFT JOIN matches m ON m.image = r.image AND m.ref = r.ref GROUP BY r.image",
     "match_pairs": _PAIRS,
     "match_pairs_grid": _PAIRS,
-    "unmatched_refs": BOXES_SQL + "SELECT image, ref FROM refs r WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.image = r.image AND m.ref = r.ref)",
-    "unmatched_targets": BOXES_SQL + "SELECT image, target FROM tgts t WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.image = t.image AND m.target = t.target)",
-    "matched_semi": BOXES_SQL + "SELECT image, ref FROM refs r WHERE EXISTS (SELECT 1 FROM matches m WHERE m.image = r.image AND m.ref = r.ref)",
+    "unmatched_refs": BOXES_SQL + _HELD + "SELECT r.image, r.ref FROM refs r LEFT JOIN held m ON m.image = r.image AND m.ref = r.ref WHERE m.ref IS NULL",
+    "unmatched_targets": BOXES_SQL + _HELD + "SELECT t.image, t.target FROM tgts t LEFT JOIN held m ON m.image = t.image AND m.target = t.target WHERE m.target IS NULL",
+    "matched_semi": BOXES_SQL + _HELD + "SELECT r.image, r.ref FROM refs r JOIN held m ON m.image = r.image AND m.ref = r.ref",
     "match_centres": _SMALLEST.format(f"SELECT *, round({_gap(('rx1', 'ry1'), ('tx1', 'ty1'))}, 6) AS gap FROM cand", "gap"),
     "match_hausdorff": _SMALLEST.format(f"SELECT *, round({_HAUSDORFF}, 6) AS distance FROM cand", "distance"),
     "match_frechet": _SMALLEST.format(_frechet_sql(), "distance"),
@@ -210,7 +243,7 @@ SQL = {
     + "SELECT image, ref, target, round(iou, 6) AS iou, round(inter, 6) AS inter, round(inter / least((rx2 - rx1) * (ry2 - ry1), (tx2 - tx1) * (ty2 - ty1)), 6) AS ios FROM matches",
     "vertex_errors": _NEAREST,
     "positional_box_iou": BOXES_SQL
-    + ", a AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY ref) AS pos FROM refs), b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY target) AS pos FROM tgts WHERE target < 100), "
+    + ", a AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY ref) AS pos FROM refs), b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY target) AS pos FROM tgts), "
     "s AS (SELECT a.image, greatest(least(rx2, tx2) - greatest(rx1, tx1), 0) * greatest(least(ry2, ty2) - greatest(ry1, ty1), 0) AS i, (rx2 - rx1) * (ry2 - ry1) + (tx2 - tx1) * (ty2 - ty1) AS s FROM a LEFT JOIN b ON b.image = a.image AND b.pos = a.pos) "
     "SELECT image, round(avg(coalesce(i / (s - i), 0)), 6) AS mean_iou FROM s GROUP BY image",
     "xywh_xyxy": BOXES_SQL + "SELECT image, ref, rx1 AS x, ry1 AS y, rx2 - rx1 AS w, ry2 - ry1 AS h, rx2 AS x2, ry2 AS y2 FROM refs",
@@ -219,6 +252,8 @@ SQL = {
     "extended_bounds": BOXES_SQL
     + f", e AS (SELECT image, ref, greatest(0, rx1 - {_EXTENDED.format('rx')})::DOUBLE AS x1, greatest(0, ry1 - {_EXTENDED.format('ry')})::DOUBLE AS y1, least(230, rx2 + {_EXTENDED.format('rx')})::DOUBLE AS x2, least(120, ry2 + {_EXTENDED.format('ry')})::DOUBLE AS y2 FROM refs) "
     "SELECT *, round(224::DOUBLE / nullif(x2 - x1, 0), 6) AS scale_w, round(224::DOUBLE / nullif(y2 - y1, 0), 6) AS scale_h FROM e",
+    "nms_boxes": _NMS,
+    "union_merge": _UNION,
     "map_at_50": BOXES_SQL
     + ", lab AS (SELECT DISTINCT o_orderkey AS image, o_orderpriority AS label FROM orders), det AS (SELECT l.label, t.image, t.target, ((t.target * 37 + t.image) % 100) / 100.0::DOUBLE AS score, m.ref IS NOT NULL AS hit FROM tgts t JOIN lab l USING (image) LEFT JOIN matches m ON m.image = t.image AND m.target = t.target), "
     "tot AS (SELECT label, count(*) AS n FROM refs JOIN lab USING (image) GROUP BY label), "

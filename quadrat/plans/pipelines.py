@@ -67,7 +67,7 @@ def evaluate(refs: DataFrame, targets: DataFrame, threshold: float = 0.5) -> dic
     """
     a = refs.withColumn("ref_box", g.bounds(F.col("ref_ring")))
     b = targets.withColumn("target_box", g.bounds(F.col("target_ring")))
-    pairs = kernels.with_polygon_iou(matching.candidates(a, b), "ref_ring", "target_ring").where("inter > 0")
+    pairs = kernels.with_polygon_iou(matching.candidates(a, b), "ref_ring", "target_ring")
     m = matching.first_wins(pairs, "iou", True, threshold)
     r, t = F.col("ref_ring"), F.col("target_ring")
     m = m.withColumns({"polis": g.polis(r, t), "hausdorff": g.hausdorff(r, t), "frechet": g.frechet(r, t)})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quadrat.functions import geometry as g
 from quadrat.functions import rasters as r
 from quadrat.operators import active, kernels, logs, skeletons, tiles
-from quadrat.plans.derived import PIXELS_SQL, rasters, rings
+from quadrat.plans.derived import PIXELS_SQL, rasters, rings, rings_sql
 from quadrat.session import table
 
 _THRESHOLDS = (-0.1, 0.0, 0.1, 0.25)
@@ -113,10 +113,12 @@ def align_error(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixel_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss weights from frequency, distance and size; NULL where one of them is 0."""
-    a = F.col("pixels")
-    w = r.pixel_weight(F.abs(a[0]) + 0.1, F.abs(a[1]) * 20, F.when(F.col("label") == 0, 0.0).otherwise(F.abs(a[2]) + 0.01))
-    return rasters(spark, sf_dir).select("image", F.round(w, 6).alias("weight"))
+    """Sum of the loss weights of each raster's pixels; NULL where the frequency of a pixel's class or a size is 0."""
+    p = rasters(spark, sf_dir).select("image", "label", "pixels", F.transform("pixels", lambda v: F.abs(v) / 8).alias("distance"))
+    freq = r.pixel_frequency(F.col("pixels"), F.when(F.col("label") == 0, 0.0).otherwise(F.col("label") / 16.0))
+    p = p.withColumn("freq", freq).withColumn("size", F.transform("pixels", lambda v: F.abs(v) + 0.01))
+    weights = F.zip_with(F.arrays_zip("freq", "distance"), "size", lambda x, size: r.pixel_weight(x["freq"], x["distance"], size, 8, 8))
+    return p.select("image", F.round(F.aggregate(weights, F.lit(0.0), lambda s, v: s + v), 4).alias("weight"))
 
 
 def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +196,36 @@ def _bilinear_sql(x: str, y: str) -> str:
     return "round(" + " + ".join(parts) + ", 6)"
 
 
+def _masks_sql() -> str:
+    """All masks by pixel and edge: 32 x 64 pixels, lines of 3 and 2."""
+    edges = "SELECT id // 3 AS image, id, ord, x + 0.25::DOUBLE AS x, y + 0.25::DOUBLE AS y, nx + 0.25::DOUBLE AS nx, ny + 0.25::DOUBLE AS ny FROM ea"
+    along = "greatest(0, least(1, ((c + 0.5::DOUBLE - x) * (nx - x) + (r + 0.5::DOUBLE - y) * (ny - y)) / ((nx - x) * (nx - x) + (ny - y) * (ny - y))))"
+    return (
+        rings_sql()
+        + f", e AS ({edges}), rc AS (SELECT r, c FROM range(32) a(r), range(64) b(c)), "
+        "ar AS (SELECT id, abs(sum(x * ny - nx * y)) / 2 AS area FROM e GROUP BY id), "
+        f"t AS (SELECT e.*, r, c, {along} AS t FROM e, rc), "
+        "n AS (SELECT *, pow(c + 0.5::DOUBLE - x - t * (nx - x), 2) + pow(r + 0.5::DOUBLE - y - t * (ny - y), 2) AS d, pow(c + 0.5::DOUBLE - x, 2) + pow(r + 0.5::DOUBLE - y, 2) AS v, "
+        "(y <= r + 0.5::DOUBLE) <> (ny <= r + 0.5::DOUBLE) AND c + 0.5::DOUBLE > x + (r + 0.5::DOUBLE - y) * (nx - x) / nullif(ny - y, 0) AS crossed FROM t), "
+        "m AS (SELECT image, id, r, c, sum(coalesce(crossed, false)::INT) % 2 = 1 AS f, min(d) <= 2.25 AS b, min(v) <= 2.25 AS k FROM n GROUP BY ALL), "
+        "own AS (SELECT image, id, r, c FROM m WHERE f OR b OR k), "
+        "col AS (SELECT p.id, q.r, p.c, min(pow(p.r - q.r, 2)) AS g FROM own p, range(32) q(r) GROUP BY ALL), "
+        "dist AS (SELECT p.id // 3 AS image, p.id, p.r, q.c, sqrt(min(p.g + pow(p.c - q.c, 2))) AS d FROM col p, range(64) q(c) GROUP BY ALL), "
+        "two AS (SELECT image, r, c, d FROM dist QUALIFY row_number() OVER (PARTITION BY image, r, c ORDER BY d) <= 2), "
+        "sz AS (SELECT image, r, c, arg_max(area, id) / 2048 AS s FROM dist JOIN ar USING (id) WHERE d <= 3 GROUP BY ALL), "
+        "a AS (SELECT image, r, c, id, ord, (CASE WHEN atan2(nx - x, ny - y) < 0 THEN atan2(nx - x, ny - y) + pi() ELSE atan2(nx - x, ny - y) END) * 255 / pi() AS code FROM n WHERE d <= 1), "
+        "cf AS (SELECT image, r, c, arg_max(round_even(code, 0), id * 4 + ord) AS code FROM a GROUP BY ALL), "
+        "im AS (SELECT DISTINCT id // 3 AS image FROM va), "
+        "s AS (SELECT image, 'polygon' AS mask, count(DISTINCT r * 64 + c) * 255 AS total FROM m WHERE f GROUP BY image "
+        "UNION ALL SELECT image, 'boundary', count(DISTINCT r * 64 + c) * 255 FROM m WHERE b AND r BETWEEN 3 AND 28 AND c BETWEEN 3 AND 60 GROUP BY image "
+        "UNION ALL SELECT image, 'vertex', count(DISTINCT r * 64 + c) * 255 FROM m WHERE k GROUP BY image "
+        "UNION ALL SELECT image, 'crossfield', sum(code) FROM cf GROUP BY image "
+        "UNION ALL SELECT image, 'distance', sum(d) / 96 FROM two GROUP BY image "
+        "UNION ALL SELECT image, 'size', sum(s) + 2048 - count(*) FROM sz GROUP BY image) "
+        "SELECT im.image::BIGINT AS image, k.mask, round(coalesce(s.total, 0)::DOUBLE, 4) AS total FROM im, (VALUES ('polygon'), ('boundary'), ('vertex'), ('crossfield'), ('distance'), ('size')) k(mask) LEFT JOIN s ON s.image = im.image AND s.mask = k.mask"
+    )
+
+
 _Y = "(label % 7 + 0.5::DOUBLE)"
 SQL = {
     "pixel_iou_thresholds": PIXELS_SQL
@@ -213,5 +245,8 @@ SQL = {
     "crossfield_uv": _CX + "SELECT image, round(c0r, 5) AS c0_re, round(c0i, 5) AS c0_im, round(c2r, 5) AS c2_re, round(c0r, 5) AS back_re FROM c",
     "align_error": _CX
     + ", e AS (SELECT image, qr * qr - qi * qi + c2r * qr - c2i * qi + c0r AS er, 2 * qr * qi + c2r * qi + c2i * qr + c0i AS ei FROM c) SELECT image, round(er * er + ei * ei, 6) AS error FROM e",
-    "pixel_weights": "WITH e AS (SELECT vec_id AS image, abs(embedding[1]::DOUBLE) + 0.1::DOUBLE AS f, abs(embedding[2]::DOUBLE) * 20 AS d, CASE WHEN label = 0 THEN 0 ELSE abs(embedding[3]::DOUBLE) + 0.01::DOUBLE END AS s FROM embeddings) SELECT image, round((1 / nullif(f, 0) + 50 * exp(-(d * d) / 100)) * (1 + 1 / nullif(10 * s, 0)), 6) AS weight FROM e",
+    "pixel_weights": PIXELS_SQL
+    + ", w AS (SELECT image, (1 / nullif(CASE WHEN v > 0 THEN label / 16.0::DOUBLE ELSE 1 - label / 16.0::DOUBLE END, 0) + 50 * exp(-pow(abs(v) / 8 * 16, 2) / 100)) * (1 + 1 / ((abs(v) + 0.01::DOUBLE) * 4)) AS w FROM px) "
+    "SELECT image, CASE WHEN count(*) = count(w) THEN round(sum(w), 4) END AS weight FROM w GROUP BY image",
+    "raster_masks": _masks_sql(),
 }

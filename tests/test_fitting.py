@@ -83,7 +83,9 @@ def test_small_functions(spark):
     assert v(r.flipped(pixels, 3)) == [2, 1, 0, 5, 4, 3]
     assert v(r.normalize(pixels, F.lit(1.0), F.lit(2.0)))[3] == 1
     assert v(r.denormalize(r.normalize(pixels, F.lit(1.0), F.lit(2.0)), F.lit(1.0), F.lit(2.0)))[5] == 5
-    assert v(r.valid_crop(pixels, pixels)) is False
+    some = F.array(F.lit(0.0), F.lit(1.0))
+    assert [v(r.valid_crop(m, F.lit(f), z)) for m, f, z in ((some, 0.5, None), (some, 0.0, None), (some, 1.0, None), (F.array(F.lit(0.0)), 0.0, None), (some, 0.5, some), (some, 0.5, F.array(F.lit(0.1))))] == [True, False, False, True, False, True]
+    assert v(r.pixel_weight(F.lit(0.5), F.lit(0.1), F.lit(0.25), 30, 20)) == pytest.approx((2 + 50 * math.exp(-25 / 100)) * (1 + 1 / (math.sqrt(600) / 2 * 0.25)))
     t = [F.lit(x) for x in (2.0, 0.0, 100.0, 0.0, -2.0, 200.0)]
     box = F.struct(*[F.lit(x).alias(n) for n, x in (("x1", 103.0), ("y1", 150.0), ("x2", 121.0), ("y2", 190.0))])
     assert tuple(v(g.image_box(box, *t))) == (1, 5, 9, 20)

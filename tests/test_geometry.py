@@ -120,7 +120,47 @@ def test_masks():
     m = kernels.masks_of([np.array([[2, 2], [10, 2], [10, 10], [2, 10]], float)], 20, 20)
     assert m["polygon"].sum() == 255 * 64
     assert m["boundary"][:3].sum() == 0
-    assert m["distance"][5, 5] == 0 and m["distance"][19, 19] > 0
+    # lines are 3 wide, discs too, direction lines 2 wide; level edges have the code 128, upright ones 0 or 255
+    assert m["boundary"][5, 7:13].tolist() == [0, 255, 255, 255, 255, 0] and not m["boundary"][12].any()
+    assert (m["vertex"] > 0).sum() == 4 * 4 and m["vertex"][1:3, 1:3].all() and m["vertex"][3:9].sum() == 0  # corner pixels are 0.71 and 1.58 away
+    assert m["crossfield"][9, 6] == m["crossfield"][10, 6] == m["crossfield"][1, 6] == 128 and set(m["crossfield"][6, [1, 9, 10]].tolist()) <= {0, 255} and m["crossfield"][11].sum() == 0
+    # distances are to what is drawn (here columns up to 11), sizes lie on that grown by 3
+    assert m["distance"][5, 11] == 0 and m["distance"][5, 14] * 40 == pytest.approx(3) and m["distance"][19, 19] > 0
+    assert m["size"][5, 14] == pytest.approx(64 / 400) and m["size"][5, 15] == 1
+
+
+def test_masks_of_two_polygons_and_a_hole():
+    outer, hole = np.array([[4, 4], [24, 4], [24, 24], [4, 24]], float), np.array([[9, 9], [19, 9], [19, 19], [9, 19]], float)
+    m = kernels.masks_of([[outer, hole], np.array([[30, 30], [36, 30], [36, 36], [30, 36]], float), np.array([[90, 90], [99, 90], [99, 99]], float)], 40, 40)
+    assert (m["polygon"] > 0).sum() == 400 - 100 + 36
+    assert m["distance"][14, 14] == pytest.approx((3 + np.hypot(15, 15)) / 80)
+    assert m["boundary"][14, 9] == 255 and m["size"][5, 5] == pytest.approx(300 / 1600) and m["size"][33, 33] == pytest.approx(36 / 1600)
+
+
+def test_exact_distances_and_discs():
+    rng = np.random.RandomState(3)
+    for share in (0.02, 0.3, 0):
+        mask = rng.rand(23, 37) < share
+        at, ys, xs = np.argwhere(mask), *np.mgrid[:23, :37]
+        wanted = np.sqrt(((ys[..., None] - at[:, 0]) ** 2 + (xs[..., None] - at[:, 1]) ** 2).min(2)) if len(at) else np.full((23, 37), np.inf)
+        assert np.array_equal(kernels.distance_to(mask), wanted)
+        assert np.array_equal(kernels.dilated(mask, 3), wanted <= 3)
+
+
+def test_contour_errors_move_inner_points_too(spark):
+    """Points inside the truth stay for the tangent angles, but move to its rings for the contour errors."""
+    from quadrat.operators import contour_metrics as c
+
+    truth, inner = np.array([[0, 0], [20, 0], [20, 20], [0, 20]], float), np.array([[2, 2], [18, 6], [18, 18], [2, 14]], float)
+    assert c.tangent_angle_error([truth], [inner]) == 0
+    assert c.tangent_angle_error([truth], [inner], on_rings=True) > 0.2
+    shape = "array<struct<x:double,y:double>>"
+    xy = lambda r: [tuple(map(float, p)) for p in r]
+    half = np.array([[10, 0], [20, 0], [20, 20], [10, 20]], float)
+    t = spark.createDataFrame([(1, 1, xy(truth[[0, 1]] * [0.5, 1]) + xy([[10, 20], [0, 20]])), (1, 2, xy(half))], f"image bigint, ref bigint, ref_ring {shape}")
+    p = spark.createDataFrame([(1, 5, xy(truth)), (1, 6, xy(truth + 15)), (2, 7, xy(truth))], f"image bigint, target bigint, target_ring {shape}")
+    got = {r["target"]: r["angle_error"] for r in c.contour_errors(t, p).collect()}
+    assert set(got) == {5} and got[5] == pytest.approx(0, abs=1e-6)
 
 
 def test_greedy_boxes(spark):
