@@ -57,6 +57,18 @@ def detections_json(df: DataFrame) -> DataFrame:
     return df.groupBy("image").agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["v"])).alias("value"))
 
 
+def write_detections(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The detections of each image as a JSON text, in a folder per image."""
+    detections_json(df).write.mode(mode).partitionBy("image").text(path)
+
+
+def write_image_files(df: DataFrame, folder: str, extension: str = "png") -> None:
+    """Rasters or masks as image files in a shared folder."""
+    from quadrat.sources.images import write_images
+
+    write_images(df, folder, extension, extension).write.format("noop").mode("overwrite").save()
+
+
 def boxes_json(df: DataFrame, key: str) -> DataFrame:
     """Box lists as they are read: ``[{"class": ..., "bbox": [x, y, w, h]}]``."""
     item = F.struct("pos", F.struct("class", F.array("x", "y", "w", "h").alias("bbox")).alias("v"))
@@ -71,7 +83,7 @@ def polygons_json(df: DataFrame, key: str) -> DataFrame:
 
 
 #: What a pipeline may write, by name (an allow-list; nothing is imported by name).
-EXPORTS: dict[str, Callable] = {"manifest": write_manifest, "geojson": write_geojson, "database": write_database, "rasters": write_rasters}
+EXPORTS: dict[str, Callable] = {"manifest": write_manifest, "geojson": write_geojson, "database": write_database, "rasters": write_rasters, "images": write_image_files, "detections": write_detections}
 
 
 def export(kind: str, df: DataFrame, *args: str, **options: str) -> None:

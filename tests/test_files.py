@@ -24,10 +24,12 @@ def test_manifest(spark, tmp_path):
 
 def test_geojson(spark, tmp_path):
     shapes = [{"type": "Polygon", "coordinates": [RING]}, {"type": "MultiPolygon", "coordinates": [[RING], [RING]]}, {"type": "Point", "coordinates": [1, 2]}]
+    shapes += [{"type": "MultiPoint", "coordinates": [[1, 2], [3, 4]]}, {"type": "LineString", "coordinates": [[0, 0], [1, 1], [0, 0]]}, {"type": "MultiLineString", "coordinates": [[[0, 0], [1, 1]]]}, {"type": "GeometryCollection"}]
     body = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": s, "properties": {"id": k, "nome": None}} for k, s in enumerate(shapes)]}
     (tmp_path / "one.geojson").write_text(json.dumps(body))
     rows = vectors.read_geojson(spark, str(tmp_path / "*.geojson")).orderBy("feature", "part").collect()
-    assert [(r["layer_key"], r["feature"], r["part"], len(r["rings"][0])) for r in rows] == [("one", 0, 0, 4), ("one", 1, 0, 4), ("one", 1, 1, 4)]
+    assert [(r["layer_key"], r["feature"], r["part"], len(r["rings"][0])) for r in rows if r["kind"] == "POLYGON"] == [("one", 0, 0, 4), ("one", 1, 0, 4), ("one", 1, 1, 4)]
+    assert [(r["feature"], r["part"], r["kind"], len(r["rings"][0])) for r in rows[3:]] == [(2, 0, "POINT", 1), (3, 0, "POINT", 1), (3, 1, "POINT", 1), (4, 0, "LINE", 3), (5, 0, "LINE", 2)]
     assert rows[0]["properties"]["id"] == "0"
     assert vectors.layer(vectors.read_geojson(spark, str(tmp_path)), "two").count() == 0
     df = spark.createDataFrame([("k", rows[0]["rings"][0]), ("k", None)], "name string, ring array<struct<x:double,y:double>>")
@@ -43,6 +45,21 @@ def test_coco(spark, tmp_path):
     rows = {r["id"]: (r["error"], r["ring"] and len(r["ring"])) for r in coco["annotations"].collect()}
     assert rows == {1: (None, 3), 2: ("unknown image", None), 3: ("not exactly one polygon", None), 4: ("not exactly one polygon", None)}
     assert coco["images"].count() == coco["categories"].count() == 1
+    assert [(r["layer_key"], r["feature"], r["properties"]["image_id"]) for r in vectors.coco_layer(coco).collect()] == [("c/a", 1, "7")]
+
+
+def test_coco_ids_belong_to_their_file(spark, tmp_path):
+    ring = {"segmentation": [[0, 0, 4, 0, 4, 3]]}
+    (tmp_path / "a.json").write_text(json.dumps({"images": [{"id": 1, "file_name": "x.jpg"}], "annotations": [{"id": 1, "image_id": 1, **ring}, {"id": 2, "image_id": 2, **ring}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"images": [{"id": 2, "file_name": "y.jpg"}], "annotations": [{"id": 1, "image_id": 2, **ring}]}))
+    rows = vectors.read_coco(spark, str(tmp_path / "*.json"))["annotations"].collect()
+    assert sorted((r["layer_key"], r["id"], r["error"]) for r in rows) == [("a", 1, None), ("a", 2, "unknown image"), ("b", 1, None)]
+
+
+def test_database_geometry(spark):
+    df = spark.createDataFrame([(1, bytearray(wkb(RING)), "a"), (2, None, "b")], "id bigint, wkb binary, rings_of string")
+    (row,) = vectors.with_rings(df, "wkb").collect()
+    assert (row["id"], row["part"], len(row["rings"][0]), row["rings_of"]) == (1, 0, 4, "a")
 
 
 def wkb(ring):
@@ -60,7 +77,10 @@ def test_binary_layers(spark, tmp_path):
     points = [*RING[::-1]]
     record = struct.pack("<i4d2i", 5, 0, 0, 4, 3, 1, len(points)) + struct.pack("<i", 0) + b"".join(struct.pack("<2d", *p) for p in points)
     (tmp_path / "shape.shp").write_bytes(bytes(100) + struct.pack(">ii", 1, len(record) // 2) + record)
+    fields = struct.pack("<11sc4xBB14x", b"nome", b"C", 6, 0) + struct.pack("<11sc4xBB14x", b"area", b"N", 4, 1)
+    (tmp_path / "shape.dbf").write_bytes(struct.pack("<BBBBIHH20x", 3, 124, 1, 1, 1, 32 + len(fields) + 1, 11) + fields + b"\r" + b" " + "rú".encode().ljust(6) + b" 2.5")
     got = {r["layer_key"]: r for r in vectors.read_vector_files(spark, str(tmp_path)).collect()}
+    assert got["shape"]["properties"] == {"record": "1", "nome": "rú", "area": "2.5"}
     assert len(got["layer"]["rings"][0]) == len(got["shape"]["rings"][0]) == 4
     assert got["layer"]["properties"]["nome"] == "x"
 
@@ -107,3 +127,23 @@ def test_exports(spark):
 
     with pytest.raises(ValueError, match="unknown sink"):
         sinks.export("os.system", spark.range(1))
+
+
+def test_image_files(spark, tmp_path):
+    rng = np.random.RandomState(1)
+    rows = [(f"i{bands}", 5, 4, bands, rng.randint(0, 256, bands * 20).astype(float).tolist()) for bands in (1, 2, 3, 4)] + [("none", 5, 4, 1, None)]
+    df = spark.createDataFrame(rows, "image string, width int, height int, bands int, pixels array<double>")
+    folder = str(tmp_path / "out")
+    assert images.write_images(df, folder).count() == images.write_images(df, folder).count() == 4
+    (tmp_path / "out" / "broken.png").write_bytes(b"no image")
+    got = {r["image"].rsplit("/", 1)[1]: r for r in images.read_images(spark, folder).collect()}
+    assert got["i1.png"]["pixels"] == rows[0][4] and got["i3.png"]["pixels"] == rows[2][4] and got["i4.png"]["bands"] == 4
+    assert got["i2.png"]["pixels"] == rows[1][4] + [0.0] * 20 and got["broken.png"]["error"]
+    assert images.read_images(spark, folder, rgb=True).where("image like '%i1.png'").first()["pixels"] == rows[0][4] * 3
+    assert set(images.read_images(spark, folder, mask=True).where("image like '%i3.png'").first()["pixels"]) <= {0.0, 1.0}
+
+
+def test_stacked_masks(spark):
+    df = spark.createDataFrame([(1, "a", 2, 1, [1.0, 0.0]), (1, "b", 2, 1, [0.0, 1.0]), (2, "a", 2, 1, [1.0, 1.0])], "image bigint, kind string, width int, height int, pixels array<double>")
+    got = {r["image"]: r["pixels"] for r in images.stacked_masks(df, "image", ["b", "a"]).collect()}
+    assert got == {1: [0.0, 1.0, 1.0, 0.0], 2: None}
