@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,26 +162,33 @@ def shared_area(a: np.ndarray, b: np.ndarray) -> float:
     return abs(total)
 
 
+def first_crossing(ring: np.ndarray, at_once: int = 1 << 20) -> tuple[int, int, np.ndarray] | None:
+    """The first two edges, in order, that cross within both of them, and where; None for a ring without."""
+    n = len(ring)
+    d = np.roll(ring, -1, axis=0) - ring
+    step = max(1, at_once // max(n, 1))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for begin in range(0, n, step):
+            i = np.arange(begin, min(n, begin + step))[:, None]
+            gap = ring[None] - ring[i[:, 0], None]
+            det = d[i[:, 0], None, 0] * d[None, :, 1] - d[i[:, 0], None, 1] * d[None, :, 0]
+            t = (gap[..., 0] * d[None, :, 1] - gap[..., 1] * d[None, :, 0]) / det
+            u = (gap[..., 0] * d[i[:, 0], None, 1] - gap[..., 1] * d[i[:, 0], None, 0]) / det
+            j = np.arange(n)[None]
+            apart = (j >= i + 2) & ((i > 0) | (j < n - 1)) & (det != 0)
+            found = np.argwhere(apart & (t > 0) & (t < 1) & (u > 0) & (u < 1))
+            if len(found):
+                k, m = found[0]
+                return int(begin + k), int(m), ring[begin + k] + t[k, m] * d[begin + k]
+    return None
+
+
 def simple_parts(r: np.ndarray) -> list[np.ndarray]:
     """A ring cut where it crosses itself: simple rings with an area."""
     work, out = [r], []
     while work:
         ring = work.pop()
-        n, found = len(ring), None
-        for i in range(n):
-            a, b = ring[i], ring[(i + 1) % n]
-            for j in range(i + 2, n if i else n - 1):
-                c, d = ring[j], ring[(j + 1) % n]
-                det = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
-                if det == 0:
-                    continue
-                t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / det
-                u = ((c[0] - a[0]) * (b[1] - a[1]) - (c[1] - a[1]) * (b[0] - a[0])) / det
-                if 0 < t < 1 and 0 < u < 1:
-                    found = (i, j, a + t * (b - a))
-                    break
-            if found:
-                break
+        found = first_crossing(ring) if len(ring) > 3 else None
         if found is None:
             if ring_area(ring) > 0:
                 out.append(ring)
@@ -216,18 +224,41 @@ def _xy(ring) -> np.ndarray:
 _RING_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y")]))
 
 
+def rings_of(column: pa.Array) -> list[np.ndarray]:
+    """Vertices (n, 2) of every ring of an Arrow column of rings, without a Python object per vertex; none for NULL."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n, begin = len(column), column.offset
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[begin : begin + n + 1] if n else np.zeros(1, np.int32)
+    xy = np.stack([column.values.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], 1) if n else np.zeros((0, 2))
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    return [xy[a:b] if ok else xy[:0] for a, b, ok in zip(bounds[:-1], bounds[1:], there)]
+
+
+def column_of(rings: list[np.ndarray | None]) -> pa.Array:
+    """An Arrow column of rings."""
+    sizes = [0 if r is None else len(r) for r in rings]
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    xy = np.vstack([np.zeros((0, 2)), *[r for r in rings if r is not None]])
+    values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in (0, 1)], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([r is None for r in rings], pa.bool_()))
+
+
 def with_polygon_iou(df: DataFrame, a: str, b: str) -> DataFrame:
     """``df`` plus ``iou, inter, uni`` of two ring columns; NULL rings are empty.
 
-    A map over Arrow batches: a user-defined function can't take the result of a lambda.
+    A map over Arrow batches: a user-defined function can't take the result of a lambda.  Other
+    columns pass through untouched.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([ring_overlap(_xy(x), _xy(y)) for x, y in zip(batch[a], batch[b])]).reshape(-1, 3)
-            yield batch.assign(iou=found[:, 0], inter=found[:, 1], uni=found[:, 2])
+            found = np.array([ring_overlap(x, y) for x, y in zip(rings_of(batch.column(a)), rings_of(batch.column(b)))]).reshape(-1, 3)
+            out = pa.Table.from_batches([batch])
+            for k, name in enumerate(("iou", "inter", "uni")):
+                out = out.append_column(name, pa.array(np.ascontiguousarray(found[:, k])))
+            yield from out.combine_chunks().to_batches()
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("iou", "inter", "uni")]]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("iou", "inter", "uni")]]))
 
 
 def simplify_line(points: np.ndarray, tolerance: float) -> np.ndarray:
@@ -255,19 +286,18 @@ def simplify_line(points: np.ndarray, tolerance: float) -> np.ndarray:
 def simplify(df: DataFrame, ring: str, tolerance: float) -> DataFrame:
     """``df`` with simplified rings; one that would collapse stays as it is, NULL stays NULL."""
 
-    def one(points) -> list | None:
-        if points is None:
-            return None
-        r = _xy(points)
+    def one(r: np.ndarray) -> np.ndarray:
         s = simplify_line(np.vstack([r, r[:1]]), tolerance)[:-1] if len(r) > 2 else r
-        return [{"x": float(x), "y": float(y)} for x, y in (s if len(s) > 2 else r)]
+        return s if len(s) > 2 else r
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch[ring] = pd.Series([one(r) for r in batch[ring]], index=batch.index, dtype=object)
-            yield batch
+            there = batch.column(ring).is_valid().to_pylist()
+            found = column_of([one(r) if ok else None for r, ok in zip(rings_of(batch.column(ring)), there)])
+            columns = [found if name == ring else column for name, column in zip(batch.schema.names, batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return df.mapInPandas(run, T.StructType([T.StructField(f.name, _RING_TYPE) if f.name == ring else f for f in df.schema.fields]))
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, _RING_TYPE) if f.name == ring else f for f in df.schema.fields]))
 
 
 def repair(df: DataFrame, ring: str) -> DataFrame:

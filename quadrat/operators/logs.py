@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quadrat.operators.manifests import numbered
+
 
 def epoch_means(log: DataFrame, keys: list[str], name: str = "metric", value: str = "value") -> DataFrame:
     """Mean of every logged metric per epoch; names get the prefix ``avg_``."""
@@ -25,23 +27,51 @@ def last_value(log: DataFrame, keys: list[str], step: str, value: str) -> DataFr
     return log.groupBy(*keys).agg(F.max_by(value, step).alias("norm"))
 
 
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Equality of the keys of two tables, NULL keys being equal."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[k])
+    return out
+
+
+def running_sums(rows: DataFrame, keys: list[str], order: list[str | Column], values: dict[str, Column], block: int = 100_000) -> DataFrame:
+    """``rows`` plus running sums per key in the given order, and ``_place``, the row's number from 1 within its key.
+
+    Rows are numbered in range partitions and summed in blocks; what a block begins with comes from the
+    sums of the blocks before it.  So a key that holds all rows is many blocks, and no task.
+    """
+    placed = numbered(rows, [*keys, *order], "_pos").withColumn("_block", F.floor(F.col("_pos") / block))
+    placed = placed.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
+    own = [*keys, "_block"]
+    totals = placed.groupBy(*own).agg(F.count("*").alias("_n"), *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*own, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_before"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in values])
+    inner = W.partitionBy(*own).orderBy("_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = placed.select(*rows.columns, "_block", F.row_number().over(inner).alias("_k"), *[F.sum(f"_v_{n}").over(inner).alias(f"_s_{n}") for n in values])
+    joined = summed.join(totals, _same(summed, totals, own))
+    sums = [(F.coalesce(f"_s_{n}", F.lit(0)) + F.col(f"_b_{n}")).alias(n) for n in values]
+    return joined.select(*[summed[c] for c in rows.columns], (F.col("_k") + F.col("_n_before")).alias("_place"), *sums)
+
+
 def running_average(log: DataFrame, keys: list[str], step: str, value: str, weight: str | None = None) -> DataFrame:
-    """Weighted mean of all steps so far."""
-    w = W.partitionBy(*keys).orderBy(step).rowsBetween(W.unboundedPreceding, W.currentRow)
+    """Weighted mean of all steps so far; steps without a value add their weight only."""
     n = F.col(weight) if weight else F.lit(1.0)
-    return log.withColumn("running", F.try_divide(F.sum(F.col(value) * n).over(w), F.sum(n).over(w)))
+    sums = running_sums(log, keys, [step], {"_total": F.col(value) * n, "_weight": n})
+    return sums.select(*log.columns, F.try_divide("_total", "_weight").alias("running"))
 
 
 def decaying_average(log: DataFrame, keys: list[str], step: str, value: str, decay: float) -> DataFrame:
     """``avg <- (1 - decay) * value + decay * avg`` from 0, per key.
 
-    The recursion unrolls to a weighted sum, so that per-key partial sums over blocks of steps
-    can be combined: a block's sum is scaled by the decay over the steps behind it.
+    The recursion unrolls to a weighted sum: a step's weight follows from the number of steps behind
+    it, which comes from the places of :func:`running_sums`.
     """
-    numbered = log.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(step)))
-    sizes = numbered.groupBy(*keys).agg(F.max("_k").alias("_n"))
-    weight = (1 - decay) * F.pow(F.lit(decay), F.col("_n") - F.col("_k"))
-    return numbered.join(sizes, keys).groupBy(*keys).agg(F.sum(F.col(value) * weight).alias("decaying"))
+    placed = running_sums(log, keys, [step], {})
+    sizes = log.groupBy(*keys).agg(F.count("*").alias("_n"))
+    weight = (1 - decay) * F.pow(F.lit(decay), F.col("_n") - F.col("_place"))
+    both = placed.join(sizes, _same(placed, sizes, keys)).select(*[placed[k] for k in keys], (placed[value] * weight).alias("_part"))
+    return both.groupBy(*keys).agg(F.sum("_part").alias("decaying"))
 
 
 def interpolated_weight(epoch: Column, points: list[tuple[float, float]]) -> Column:
@@ -81,10 +111,8 @@ def average_precision(scored: DataFrame, totals: DataFrame, keys: list[str], sco
     ``scored`` has a detection's score and whether it is a hit; ``totals`` the number of truths
     (``n_truth``) per key.
     """
-    w = W.partitionBy(*keys).orderBy(F.col(score).desc(), order)
-    up = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    curve = scored.withColumn("_tp", F.sum(F.col(hit).cast("int")).over(up)).withColumn("_n", F.row_number().over(w))
-    curve = curve.join(totals, keys).withColumn("precision", F.col("_tp") / F.col("_n")).withColumn("recall", F.try_divide(F.col("_tp"), F.col("n_truth")))
+    curve = running_sums(scored, keys, [F.col(score).desc(), F.col(order)], {"_tp": F.col(hit).cast("int")})
+    curve = curve.join(totals, keys).withColumn("precision", F.col("_tp") / F.col("_place")).withColumn("recall", F.try_divide(F.col("_tp"), F.col("n_truth")))
     best = curve.groupBy(*keys, F.floor(F.col("recall") * 100 + 1e-9).cast("int").alias("r")).agg(F.max("precision").alias("p"))
     later = W.partitionBy(*keys).orderBy(F.col("r").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
     steps = best.withColumn("p", F.max("p").over(later)).withColumn("_before", F.lag("r").over(W.partitionBy(*keys).orderBy("r")))

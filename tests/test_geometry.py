@@ -221,3 +221,27 @@ def test_tangent_angles(spark):
     df = spark.createDataFrame([([{"x": x, "y": y} for x, y in square.tolist()], None)], f"a {g.RING}, b {g.RING}")
     assert with_tangent_angle_error(df, "a", "a").first()["angle_error"] == pytest.approx(0, abs=1e-7)
     assert with_tangent_angle_error(df, "a", "b").first()["angle_error"] is None
+
+
+def test_rings_in_arrow_columns():
+    rings = [np.array([[0, 0], [1, 0], [1, 1]], float), None, np.zeros((0, 2)), np.array([[5, 5], [6, 5]], float)]
+    column = kernels.column_of(rings)
+    for part, wanted in ((column, rings), (column.slice(1, 3), rings[1:]), (column.slice(4), [])):
+        got = kernels.rings_of(part)
+        assert [r.tolist() for r in got] == [[] if r is None else r.tolist() for r in wanted]
+    assert column.to_pylist()[1] is None and column.to_pylist()[2] == []
+
+
+def test_first_crossing_is_the_first_in_order():
+    rng = np.random.RandomState(5)
+    for n in (4, 5, 9, 30):
+        ring = rng.rand(n, 2)
+        found = kernels.first_crossing(ring, at_once=37)
+        wanted = None
+        for i in range(n):
+            for j in range(i + 2, n if i else n - 1):
+                a, b, c, d = ring[i], ring[(i + 1) % n], ring[j], ring[(j + 1) % n]
+                t, u = np.linalg.solve(np.stack([b - a, c - d], 1), c - a)
+                if wanted is None and 0 < t < 1 and 0 < u < 1:
+                    wanted = (i, j)
+        assert (found and found[:2]) == wanted

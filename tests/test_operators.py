@@ -140,3 +140,17 @@ def test_masks_from_features(spark):
     assert {r["mask"]: sum(r["pixels"]) for r in masks.where("mask = 'polygon'").collect()} == {"polygon": 255.0 * 64}
     manifest = pipelines.mask_manifest(spark.createDataFrame([(1,), (2,)], "image bigint"), masks, "/out").orderBy("image").collect()
     assert manifest[0]["polygon_mask"] == "/out/polygon_masks/1.png" and manifest[1]["polygon_mask"] is None
+
+
+def test_running_sums_of_hot_and_null_keys(spark):
+    """Blocks of a few rows give the sums of one window; ties and missing values too."""
+    rows = [(None if k % 7 == 0 else "hot" if k % 3 else f"k{k % 5}", (k * 37) % 101, None if k % 11 == 0 else float(k)) for k in range(300)]
+    rows = [(key, step * 1000 + i, v) for i, (key, step, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "key string, step bigint, value double")
+    got = {r["step"]: (r["_place"], r["total"]) for r in logs.running_sums(df, ["key"], ["step"], {"total": F.col("value")}, block=13).collect()}
+    wanted, seen = {}, {}
+    for key, step, v in sorted(rows, key=lambda r: r[1]):
+        n, total = seen.get(key, (0, 0.0))
+        seen[key] = wanted[step] = (n + 1, total + (v or 0.0))
+    assert got == wanted
+    assert logs.running_sums(df.limit(0), ["key"], ["step"], {"total": F.col("value")}).count() == 0
