@@ -191,7 +191,7 @@ def _coupled(p: Column, q: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.size(q) - 1), F.array().cast("array<double>"), cell)
 
     table = F.aggregate(p, F.array().cast("array<double>"), row)
-    return F.element_at(table, -1)
+    return F.try_element_at(table, F.lit(-1))
 
 
 def _half_plane(r: Column, inside, cross) -> Column:

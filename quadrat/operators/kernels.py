@@ -261,6 +261,62 @@ def with_polygon_iou(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("iou", "inter", "uni")]]))
 
 
+def _to_outline(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Distance of points (k, n, 2) to the outlines of rings (k, m, 2)."""
+    best = np.full(points.shape[:2], np.inf)
+    for j in range(ring.shape[1]):
+        a, d = ring[:, j, None], (ring[:, (j + 1) % ring.shape[1]] - ring[:, j])[:, None]
+        size = (d**2).sum(2)
+        along = ((points - a) * d).sum(2)
+        t = np.clip(np.divide(along, size, out=np.zeros_like(along), where=size > 0), 0, 1)
+        off = points - (a + t[..., None] * d)
+        best = np.minimum(best, np.hypot(off[..., 0], off[..., 1]))
+    return best
+
+
+def hausdorff_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hausdorff distances of pairs of rings (k, n, 2) and (k, m, 2), by their vertices and outlines."""
+    return np.maximum(_to_outline(a, b).max(1), _to_outline(b, a).max(1))
+
+
+def frechet_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Discrete Fréchet distances of pairs of closed rings (k, n, 2) and (k, m, 2)."""
+    a, b = np.concatenate([a, a[:, :1]], 1), np.concatenate([b, b[:, :1]], 1)
+    row: list[np.ndarray] = []
+    for i in range(a.shape[1]):
+        above, row = row, []
+        for j in range(b.shape[1]):
+            gap = np.hypot(a[:, i, 0] - b[:, j, 0], a[:, i, 1] - b[:, j, 1])
+            before = [*above[j : j + 1], *(above[j - 1 : j] if j else []), *row[j - 1 : j]] if i or j else []
+            row.append(np.maximum(gap, np.minimum.reduce(before)) if before else gap)
+    return row[-1]
+
+
+DISTANCES = {"hausdorff": hausdorff_of, "frechet": frechet_of}
+
+
+def with_ring_distance(df: DataFrame, a: str, b: str, kind: str, name: str = "distance") -> DataFrame:
+    """``df`` plus the distance of two ring columns; NULL if a ring is NULL or empty.
+
+    Pairs with the same numbers of vertices are computed together, over arrays of a bounded size.
+    """
+    kernel = DISTANCES[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = rings_of(batch.column(a)), rings_of(batch.column(b))
+            shape = np.array([(len(x), len(y)) for x, y in zip(left, right)]).reshape(-1, 2)
+            out = np.full(len(shape), np.nan)
+            for n, m in np.unique(shape[shape.min(1) > 0], axis=0).tolist() if len(shape) else ():
+                rows = np.flatnonzero((shape == (n, m)).all(1))
+                step = max(1, (1 << 20) // (n * m))
+                for part in (rows[k : k + step] for k in range(0, len(rows), step)):
+                    out[part] = kernel(np.stack([left[i] for i in part]), np.stack([right[i] for i in part]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, from_pandas=True)], [*batch.schema.names, name])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def simplify_line(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Douglas and Peucker's simplification of an open line."""
     if len(points) < 3 or tolerance <= 0:

@@ -63,16 +63,20 @@ def _ring(b: str):
     return geometry.ring((c["x1"], c["y1"]), (c["x2"], c["y1"]), (c["x2"], c["y2"]), (c["x1"], c["y2"]))
 
 
+def _by_distance(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    pairs = matching.candidates(references(spark, sf_dir), targets(spark, sf_dir)).select("image", "ref", "target", _ring(_R).alias("a"), _ring(_T).alias("b"))
+    scored = kernels.with_ring_distance(pairs, "a", "b", kind).withColumn("distance", F.round("distance", 6))
+    return matching.first_wins(scored, "distance", largest=False).select("image", "ref", "target", "distance")
+
+
 def match_hausdorff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches by the smallest Hausdorff distance of the boxes' rings."""
-    pairs = matching.candidates(references(spark, sf_dir), targets(spark, sf_dir)).withColumn("distance", F.round(geometry.hausdorff(_ring(_R), _ring(_T)), 6))
-    return matching.first_wins(pairs, "distance", largest=False).select("image", "ref", "target", "distance")
+    return _by_distance(spark, sf_dir, "hausdorff")
 
 
 def match_frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches by the smallest discrete Fréchet distance of the boxes' rings."""
-    pairs = matching.candidates(references(spark, sf_dir), targets(spark, sf_dir)).withColumn("distance", F.round(geometry.frechet(_ring(_R), _ring(_T)), 6))
-    return matching.first_wins(pairs, "distance", largest=False).select("image", "ref", "target", "distance")
+    return _by_distance(spark, sf_dir, "frechet")
 
 
 def match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

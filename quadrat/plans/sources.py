@@ -14,7 +14,7 @@ from quadrat.operators import kernels, spatial
 from quadrat.plans import pipelines
 from quadrat.plans.derived import PIXELS_SQL, rasters, rings, rings_sql
 from quadrat.sources import annotations, images, manifest, sinks, vectors
-from quadrat.session import shared_folder, table
+from quadrat.session import kept, shared_folder, table
 
 
 def _folder(spark: SparkSession) -> str:
@@ -141,7 +141,8 @@ def token_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polygons of the decoded token sequences."""
     t = rings(spark, sf_dir, 3.0).select("id", s.encode(F.col("a")).alias("t"), F.lit(2.0).alias("scale_w"), F.lit(4.0).alias("scale_h"), F.lit(5.0).alias("min_col"), F.lit(7.0).alias("min_row"))
-    got = pipelines.polygonize_tokens(t.withColumn("tokens", F.slice("t", 3, 58)).drop("t"), min_area=1.0)
+    written = kept(t.withColumn("tokens", F.slice("t", 3, 58)).drop("t"))  # sequences are data, and not made again in each use
+    got = pipelines.polygonize_tokens(written, min_area=1.0)
     return got.select("id", F.round(g.area(F.col("ring")), 6).alias("area"))
 
 

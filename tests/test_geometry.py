@@ -245,3 +245,14 @@ def test_first_crossing_is_the_first_in_order():
                 if wanted is None and 0 < t < 1 and 0 < u < 1:
                     wanted = (i, j)
         assert (found and found[:2]) == wanted
+
+
+def test_distances_of_many_pairs_agree_with_the_columns(spark):
+    rng = np.random.RandomState(6)
+    xy = lambda n: [tuple(map(float, p)) for p in rng.randint(0, 30, (n, 2))]
+    rows = [(k, xy(rng.randint(3, 7)), xy(rng.randint(3, 7))) for k in range(40)] + [(90, None, xy(3)), (91, [], xy(3)), (92, [(1.0, 2.0)] * 4, xy(3))]
+    df = spark.createDataFrame(rows, "id int, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    for kind, column in (("hausdorff", g.hausdorff), ("frechet", g.frechet)):
+        got = kernels.with_ring_distance(df, "a", "b", kind).withColumn("same", column(F.col("a"), F.col("b"))).collect()
+        assert all(r["distance"] == pytest.approx(r["same"]) for r in got if r["a"])
+        assert [r["distance"] for r in got if not r["a"]] == [None, None]
