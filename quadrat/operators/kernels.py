@@ -105,34 +105,33 @@ def union_merge(detections: DataFrame, threshold: float = 0.5) -> DataFrame:
 def _clip_triangles(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
     """Area that each of n pairs of counter-clockwise triangles (n, 3, 2) shares."""
     n = len(subject)
-    shape = np.zeros((n, 8, 2))
-    shape[:, :3] = subject
-    count = np.full(n, 3)
-    slot = np.arange(8)
-    for k in range(3):
-        a, b = clip[:, k], clip[:, (k + 1) % 3]
-        follow = np.where(slot[None] + 1 < count[:, None], slot[None] + 1, 0)
-        after = np.take_along_axis(shape, follow[..., None].repeat(2, 2), 1)
-        edge = (b - a)[:, None, :]
+    shape, count, lane = np.ascontiguousarray(subject.transpose(2, 1, 0)), np.full(n, 3), np.arange(n)  # shape: x and y by slot
 
-        def side(p: np.ndarray, edge: np.ndarray = edge, a: np.ndarray = a) -> np.ndarray:
-            return edge[..., 0] * (p[..., 1] - a[:, None, 1]) - edge[..., 1] * (p[..., 0] - a[:, None, 0])
+    def next_of(values: np.ndarray) -> np.ndarray:
+        after = np.roll(values, -1, axis=-2)
+        after[..., np.maximum(count - 1, 0), lane] = values[..., 0, :]
+        return after
 
-        s, t = side(shape), side(after)
-        live = slot[None] < count[:, None]
+    for k in range(3):
+        a, b = clip[:, k], clip[:, (k + 1) % 3]
+        edge = b - a
+        s = edge[:, 0] * (shape[1] - a[:, 1]) - edge[:, 1] * (shape[0] - a[:, 0])
+        t, after = next_of(s), next_of(shape)
+        live = np.arange(shape.shape[1])[:, None] < count
         crossing = live & ((s >= 0) != (t >= 0))
         entering = live & (t >= 0)
         ratio = np.divide(s, s - t, out=np.zeros_like(s), where=(s - t) != 0)
-        cut = shape + (after - shape) * ratio[..., None]
-        emitted = np.stack([crossing, entering], 2).reshape(n, 16)
-        points = np.stack([cut, after], 2).reshape(n, 16, 2)
-        order = np.argsort(~emitted, axis=1, kind="stable")[:, :8]
-        shape = np.take_along_axis(points, order[..., None].repeat(2, 2), 1)
-        count = np.minimum(emitted.sum(1), 8)
-    live = slot[None] < count[:, None]
-    follow = np.where(slot[None] + 1 < count[:, None], slot[None] + 1, 0)
-    after = np.take_along_axis(shape, follow[..., None].repeat(2, 2), 1)
-    cross = (shape[..., 0] * after[..., 1] - shape[..., 1] * after[..., 0]) * live
+        cut = shape + (after - shape) * ratio
+        ends = np.cumsum(crossing.astype(np.intp) + entering, axis=0)
+        count = ends[-1]
+        shape = np.zeros((2, max(1, int(count.max(initial=0))), n))
+        for points, emitted, to in ((cut, crossing, ends - entering - 1), (after, entering, ends - 1)):
+            slot, at = np.nonzero(emitted)
+            shape[:, to[slot, at], at] = points[:, slot, at]
+    after = next_of(shape)
+    live = np.arange(shape.shape[1])[:, None] < count
+    cross = np.zeros((n, max(8, shape.shape[1])))
+    cross[:, : shape.shape[1]] = ((shape[0] * after[1] - shape[1] * after[0]) * live).T
     return np.abs(cross.sum(1)) / 2
 
 
@@ -217,6 +216,128 @@ def ring_overlap(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     return float(total[0]), float(total[1]), float(total[2])
 
 
+def first_crossings(rings: np.ndarray, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``first_crossing`` of each of the rings (k, n, 2): the two edges (-1 without) and where."""
+    k, n = rings.shape[:2]
+    first, second, where = np.full(k, -1), np.full(k, -1), np.zeros((k, 2))
+    if n * n > at_once:
+        for row, found in enumerate(map(first_crossing, rings)):
+            if found is not None:
+                first[row], second[row], where[row] = found
+        return first, second, where
+    i, j = np.triu_indices(n, 2)
+    apart = (i > 0) | (j < n - 1)
+    i, j = i[apart], j[apart]
+    step = max(1, at_once // max(len(i), 1))
+    for begin in range(0, k if len(i) else 0, step):
+        r = rings[begin : begin + step]
+        d = np.roll(r, -1, axis=1) - r
+        (dx, dy), (ex, ey), (gx, gy) = (np.moveaxis(v, 2, 0) for v in (d[:, i], d[:, j], r[:, j] - r[:, i]))
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            det = dx * ey - dy * ex
+            t, u = (gx * ey - gy * ex) / det, (gx * dy - gy * dx) / det
+            found = (det != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        row = np.flatnonzero(found.any(1))
+        pair = found[row].argmax(1)
+        first[begin + row], second[begin + row] = i[pair], j[pair]
+        where[begin + row] = r[row, i[pair]] + t[row, pair, None] * d[row, i[pair]]
+    return first, second, where
+
+
+def _areas(rings: np.ndarray) -> np.ndarray:
+    """Areas of rings (k, n, 2)."""
+    x, y = rings[..., 0], rings[..., 1]
+    return np.abs(np.vecdot(x, np.roll(y, -1, axis=1)) - np.vecdot(y, np.roll(x, -1, axis=1))) / 2
+
+
+def _parts_of(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """``simple_parts`` of many rings, those with the same number of vertices together.
+
+    Per part the ring that it is of (ascending, parts in order), its area, its number of vertices and
+    its place among the parts with that number, which the last value holds.
+    """
+    waiting: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+    sizes = np.array([len(r) for r in rings], np.intp)
+    for n in np.unique(sizes[sizes > 2]).tolist():
+        own = np.flatnonzero(sizes == n)
+        waiting[n] = [(own, np.zeros_like(own), np.stack([rings[k] for k in own]))]
+    done: dict[int, np.ndarray] = {}
+    rows = [np.zeros((4, 0))]
+    while waiting:
+        n = max(waiting)  # what is cut off has fewer vertices
+        own, at, xy = (np.concatenate(v) for v in zip(*waiting.pop(n)))
+        i, j, p = first_crossings(xy)
+        area = _areas(xy)
+        whole = np.flatnonzero((i < 0) & (area > 0))
+        done[n] = xy[whole]
+        rows.append(np.stack([own[whole], at[whole], area[whole], np.full(len(whole), n)]))
+        for a, b in np.unique(np.stack([i, j], 1)[i >= 0], axis=0).tolist():
+            k = np.flatnonzero((i == a) & (j == b))
+            # a ring of n vertices has n - 2 parts at most, so the inner side takes the places up to b - a - 1
+            waiting.setdefault(b - a + 1, []).append((own[k], at[k], np.concatenate([p[k, None], xy[k, a + 1 : b + 1]], 1)))
+            waiting.setdefault(n - b + a + 1, []).append((own[k], at[k] + b - a - 1, np.concatenate([xy[k, : a + 1], p[k, None], xy[k, b + 1 :]], 1)))
+    place = np.concatenate([np.arange(r.shape[1]) for r in rows])
+    own, at, area, n = np.concatenate(rows, axis=1)
+    order = np.lexsort((at, own))
+    return own[order].astype(np.intp), area[order], n[order].astype(np.intp), place[order], done
+
+
+def _shared_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``shared_area`` of each pair of the rings (k, n, 2) and (k, m, 2)."""
+    k, n, m = len(a), a.shape[1] - 2, b.shape[1] - 2
+    origin = a.mean(1, keepdims=True)
+
+    def fan(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = r - origin
+        t = np.stack([np.repeat(r[:, :1], r.shape[1] - 2, 1), r[:, 1:-1], r[:, 2:]], 2)
+        u, v = t[:, :, 1] - t[:, :, 0], t[:, :, 2] - t[:, :, 0]
+        s = u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+        return np.where((s < 0)[..., None, None], t[:, :, ::-1], t), np.sign(s)
+
+    (ta, sa), (tb, sb) = fan(a), fan(b)
+    both = _clip_triangles(np.repeat(ta, m, 1).reshape(-1, 3, 2), np.tile(tb, (1, n, 1, 1)).reshape(-1, 3, 2))
+    return np.abs((np.repeat(sa, m, 1) * np.tile(sb, (1, n)) * both.reshape(k, n * m)).sum(1))
+
+
+def ring_overlaps(left: list[np.ndarray], right: list[np.ndarray], vertices: int = 1 << 16, pairs: int = 1 << 14, triangles: int = 20_000) -> np.ndarray:
+    """``ring_overlap`` of each pair of rings, as rows of three.
+
+    Pairs of parts with the same numbers of vertices are computed together, over arrays of a bounded
+    size: so many vertices, pairs of parts and pairs of triangles at once.
+    """
+    held = np.cumsum([len(a) + len(b) for a, b in zip(left, right)]) // vertices
+    bounds = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(left)]
+    return np.concatenate([np.zeros((0, 3)), *[_overlaps(left[a:b], right[a:b], pairs, triangles) for a, b in zip(bounds[:-1], bounds[1:])]])
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], pairs: int, triangles: int) -> np.ndarray:
+    total = np.zeros((len(left), 3))
+    (own_a, area_a, n_a, at_a, rings_a), (own_b, area_b, n_b, at_b, rings_b) = _parts_of(left), _parts_of(right)
+    many_a, many_b = (np.bincount(own, minlength=len(left)) for own in (own_a, own_b))
+    for own, area in ((own_a, area_a), (own_b, area_b)):
+        alone = (many_a * many_b)[own] == 0
+        np.add.at(total[:, 2], own[alone], area[alone])
+    begin_a, begin_b = np.cumsum(many_a) - many_a, np.cumsum(many_b) - many_b
+    ends = np.cumsum(many_a * many_b)
+    for begin in range(0, int(ends[-1]) if len(ends) else 0, pairs):
+        pair = np.arange(begin, min(begin + pairs, int(ends[-1])))
+        row = np.searchsorted(ends, pair, side="right")
+        i, j = np.divmod(pair - (ends - many_a * many_b)[row], many_b[row])
+        i, j = i + begin_a[row], j + begin_b[row]
+        both = np.zeros(len(pair))
+        for n, m in np.unique(np.stack([n_a[i], n_b[j]], 1), axis=0).tolist():
+            same = np.flatnonzero((n_a[i] == n) & (n_b[j] == m))
+            a, b, most = rings_a[n], rings_b[m], triangles // ((n - 2) * (m - 2))
+            if most:
+                for k in (same[c : c + most] for c in range(0, len(same), most)):
+                    both[k] = _shared_areas(a[at_a[i[k]]], b[at_b[j[k]]])
+            else:
+                both[same] = [shared_area(a[x], b[y]) for x, y in zip(at_a[i[same]], at_b[j[same]])]
+        uni = area_a[i] + area_b[j] - both
+        np.add.at(total, row, np.stack([np.divide(both, uni, out=np.zeros_like(uni), where=uni > 0), both, uni], 1))
+    return total
+
+
 def _xy(ring) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) if ring is not None else np.zeros((0, 2))
 
@@ -252,7 +373,7 @@ def with_polygon_iou(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([ring_overlap(x, y) for x, y in zip(rings_of(batch.column(a)), rings_of(batch.column(b)))]).reshape(-1, 3)
+            found = ring_overlaps(rings_of(batch.column(a)), rings_of(batch.column(b)))
             out = pa.Table.from_batches([batch])
             for k, name in enumerate(("iou", "inter", "uni")):
                 out = out.append_column(name, pa.array(np.ascontiguousarray(found[:, k])))

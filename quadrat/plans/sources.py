@@ -14,7 +14,7 @@ from quadrat.operators import kernels, spatial
 from quadrat.plans import pipelines
 from quadrat.plans.derived import PIXELS_SQL, rasters, rings, rings_sql
 from quadrat.sources import annotations, images, manifest, sinks, vectors
-from quadrat.session import kept, shared_folder, table
+from quadrat.session import kept, shared_folder, spread, table
 
 
 def _folder(spark: SparkSession) -> str:
@@ -110,7 +110,7 @@ def crossed_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def crossed_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IoU of a ring that crosses itself with the square around it."""
-    p = rings(spark, sf_dir)
+    p = spread(rings(spark, sf_dir), "id")
     x, y, w, h = (F.col(c) for c in ("x0", "y0", "w", "h"))
     p = p.select("id", g.ring((x, y), (x + w, y + h), (x + w, y), (x, y + h)).alias("p"), g.ring((x, y), (x + w, y), (x + w, y + h), (x, y + h)).alias("q"))
     got = kernels.with_polygon_iou(p, "p", "q")

@@ -1,8 +1,11 @@
 import math
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadrat.functions import geometry as g
 from quadrat.functions import rasters as r
@@ -256,3 +259,38 @@ def test_distances_of_many_pairs_agree_with_the_columns(spark):
         got = kernels.with_ring_distance(df, "a", "b", kind).withColumn("same", column(F.col("a"), F.col("b"))).collect()
         assert all(r["distance"] == pytest.approx(r["same"]) for r in got if r["a"])
         assert [r["distance"] for r in got if not r["a"]] == [None, None]
+
+
+def test_overlaps_of_many_pairs_agree_with_single_ones():
+    rng = np.random.RandomState(7)
+    some = lambda n, k: rng.rand(n, 2) if k % 2 else rng.randint(0, 6, (n, 2)).astype(float)
+    left, right = ([some(n, k) for k, n in enumerate(rng.randint(0, 10, 60))] for _ in range(2))
+    large = np.stack([np.cos(t := np.linspace(0, 6, 260)), np.sin(t)], 1) * rng.uniform(0.9, 1.1, (260, 1))
+    left, right = [*left, large, np.array([[0, 0], [np.nan, 1], [1, 1]])], [*right, some(5, 1), some(5, 1)]
+    wanted = np.array([kernels.ring_overlap(a, b) for a, b in zip(left, right)])
+    for bounds in ({}, {"vertices": 50, "pairs": 7, "triangles": 10}):
+        np.testing.assert_allclose(kernels.ring_overlaps(left, right, **bounds), wanted, rtol=1e-12, atol=1e-12)
+    assert kernels.ring_overlaps([], []).shape == (0, 3)
+
+
+def test_overlaps_of_many_pairs_are_computed_together(monkeypatch):
+    """A batch of crossed rings takes a few calls of the kernels and not some per pair."""
+    calls = []
+    for name in ("_clip_triangles", "first_crossing"):
+        kernel = getattr(kernels, name)
+        monkeypatch.setattr(kernels, name, lambda *a, kernel=kernel, **k: calls.append(kernel) or kernel(*a, **k))
+    run = kernels.with_polygon_iou(SimpleNamespace(schema=T.StructType([]), mapInArrow=lambda run, schema: run), "a", "b")
+    bows = [np.array([[k, 0], [k + 2, 3], [k + 2, 0], [k, 3]], float) for k in range(500)]
+    squares = [r[[0, 2, 1, 3]] for r in bows]
+    (out,) = run(iter([pa.RecordBatch.from_arrays([kernels.column_of(bows), kernels.column_of(squares)], ["a", "b"])]))
+    assert [out.column(c).to_pylist() for c in ("iou", "inter", "uni")] == [pytest.approx([v] * 500) for v in (0.5, 3, 12)]
+    assert len(calls) < 20
+
+
+def test_crossed_rings_of_one_file_meet_all_cores(spark, tmp_path):
+    from quadrat.plans.sources import crossed_iou
+
+    spark.range(200).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = crossed_iou(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["id"] for r in rows) == list(range(200)) and {r["iou"] for r in rows} == {0.5}
+    assert len({r["task"] for r in rows}) == 4
